@@ -88,13 +88,13 @@ def _packed(items: DataFrame, capacity: int, tasks: int, level: int, most_open:
 
 def pack(items: DataFrame, capacity: int, most_open: int = OPEN, per_task: int = ITEMS) -> DataFrame:
     """`item, piece_no, start, size, container_id` for items `item` (a unique string), `size`."""
+    items = stored(items, "items")
     whole = F.floor(F.col("size") / capacity).cast("int")
     rest = (F.col("size") % capacity).cast("int")
     full = items.where(F.col("size") >= capacity).select("item", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece_no"))
     full = full.select("item", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start"), F.lit(capacity).alias("size"), F.concat_ws("-", F.lit("f"), "item", "piece_no").alias("container_id"))
     none = items.where("size = 0").select("item", F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("start"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("container_id"))
     part = items.where(rest > 0).select("item", whole.alias("piece_no"), (whole.cast("bigint") * capacity).alias("start"), rest.alias("size"))
-    part = stored(part, "items")
     tasks = max(1, -(-part.count() // per_task))
     done = _packed(part, capacity, tasks, 0, most_open)
     if tasks > 1:
