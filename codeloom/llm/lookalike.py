@@ -95,7 +95,9 @@ class Normalizer:
             if (s := script_of(ch)) and s != "Latin":
                 self.respell.setdefault(s, {})[to] = ch
         self.scripts = {c: frozenset({"Latin"} | {s for s, m in self.respell.items() if c in m}) for c in map(chr, range(0x41, 0x7B)) if c.isalpha()}
-        self.other = regex.compile(r"[\p{L}\p{M}]*[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Coptic}\p{Cherokee}][\p{L}\p{M}]*")
+        cased = r"\p{Greek}\p{Cyrillic}\p{Armenian}\p{Coptic}\p{Cherokee}"
+        # from a word's start and without going back, so that words of any length take time in proportion
+        self.other = regex.compile(rf"(?V1)(?<![\p{{L}}\p{{M}}])[[\p{{L}}\p{{M}}]--[{cased}]]*+[{cased}][\p{{L}}\p{{M}}]*+")
 
     def token(self, word: str) -> str:
         """A folded token, spelled in the one script that has all its letters."""
