@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Lines of a piece at most; lines that a piece repeats of the one before.
 LIMIT, OVERLAP = 40, 4
 #: Weight of the squared distance from an even size, as a share of the limit.
-UNEVEN = 4.0
+UNEVEN = 1.0
 
 _STARTS = regex.compile(r"\s*(?:@\w|(?:export |default |public |private |protected |static |final |abstract |async )*(?:def|class|function|func|interface|type|struct|enum|impl|fn)\b|/\*\*|///?\s|#\s)")
 _CLOSES = regex.compile(r"\s*(?:[)\]}]|else\b|elif\b|except\b|finally\b|catch\b|case\b.*:$)")
