@@ -31,7 +31,7 @@ LEAST_WORDS = 3
 _PARTS = r"""(?(DEFINE)
   (?P<str>\"(?:[^\"\\\n]++|\\[\s\S])*+\"|'(?:[^'\\\n]++|\\[\s\S])*+'|`(?:[^`\\]++|\\[\s\S])*+`)
   (?P<pat>(?<=[(,=:\[!&|?{;]\s*)/(?![*/])(?:[^/\\\n\[]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/\w*+)
-  (?P<note>//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/)
+  (?P<note>//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\Z))
   (?P<round>\((?:[^()\"'`/#]++|(?&str)|(?&note)|/|\#|(?&round))*+\))
   (?P<block>\{(?:[^{}\"'`/]++|(?&str)|(?&note)|(?&pat)|/|(?&block))*+\})
   (?P<pystr>(?i:[rubf]{0,2})(?:\"\"\"(?:[^\"\\]++|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''|\"(?:[^\"\\\n]++|\\[\s\S])*+\"|'(?:[^'\\\n]++|\\[\s\S])*+'))
@@ -57,16 +57,28 @@ PYTHON = regex.compile(
 _DIRECTIVE = regex.compile(
     r"""(?ix)^\W*(?: noqa\b | type:\s*ignore | (?:pylint|flake8|mypy|pyright|ruff|isort|yapf|fmt|black|bandit|coverage|eslint|tslint|jshint|jslint|jscs|prettier|biome|stylelint|istanbul|c8|v8|webpack|nosec|nosonar|noinspection|checkstyle|spotbugs|pmd|clang-format|clang-tidy|nolint|golangci|lint|sonar)\b\s*[:\-(\s]\s*\S* | @ts-\w+ | ts-(?:ignore|nocheck|expect-error) | go:\w+ | \+build\b | pragma\b | region\b | endregion\b | @formatter | @suppress | @flow\b | nosec\b | nolint\b | nosonar\b | fmt:\s*(?:on|off) | vim?: | -\*- | \#?sourceMappingURL | cspell:\S* | eslint-\S+ | <reference\b | ^!/ )"""
 )
-_LICENCE = regex.compile(r"(?i)(?:\bcopyright\b\s*(?:\(c\)|©|\d{4})|©\s*\d{4}|\ball rights reserved\b|spdx-license|\blicen[cs]ed under\b|\b(?:mit|apache|bsd|gpl)[\w\s.-]* licen[cs]e\b|see the licen[cs]e file|without warrant(?:y|ies))")
+_LICENCE = regex.compile(r"(?i)(?:\bcopyright\b\s*(?:\(c\)|©|\d{4})|©\s*\d{4}|\ball rights reserved\b|spdx-license|\blicen[cs]ed under\b|\b(?:mit|apache|bsd|gpl)[\w\s.-]{0,40} licen[cs]e\b|see the licen[cs]e file|without warrant(?:y|ies))")
 _RULER = regex.compile(r"^[\W_]*$")
-_CODE = [
-    regex.compile(x)
-    for x in (
-        r"^.*[=(].*[;{}]$", r"^(?:return|break|continue|throw|raise|yield|delete|goto|pass)\b[^.!?]*;$", r"^(?:[\w.$]+(?:\[[^\]]*\])?(?:\s*,\s*[\w.]+)*)\s*(?:[-+*/%|&^]|<<|>>|:)?=(?!=)\s*\S.*$",
-        r"^(?:if|elif|for|while|with|switch|catch)\b.*[<>=()\[\]!].*[:{](?:\s*(?:return|break|continue|pass|raise)\b.*|\s*[\w.]+\(.*)?$", r"^(?:if|for|while)\s*\(.*\)", r"^[\w.$]+\([^()]*(?:\([^()]*\)[^()]*)*\)\s*[;:]?$", r"^(?:else|try|finally|do)\s*[:{]$",
-        r"^(?:def|class|func|function|async|import|from|const|let|var|public|private|protected|static|package|#include)\s+[\w.$<>*{}\"' ,]+(?:\(|=|;|:$|\{|\s+import\s|[\"']).*$", r"^[)\]}]+[;,]?$", r"^.*\);\s+\w+.*$",
-    )
-]
+#: Statements, each told by a look that takes time in proportion to the line.
+_ASSIGNS = regex.compile(r"[\w.$]++(?:\[[^\]]*+\])?+(?:\s*+,\s*+[\w.]++)*+\s*+(?:[-+*/%|&^]|<<|>>|:)?+=(?!=)\s*+\S")
+_CONTROL = regex.compile(r"(?:if|elif|for|while|with|switch|catch)\b")
+_BRANCH = regex.compile(r"[:{]\s*(?:(?:return|break|continue|pass|raise)\b|[\w.]+\()")
+_DECLARES = regex.compile(r"(?:def|class|func|function|async|import|from|const|let|var|public|private|protected|static|package|#include)\s+[\w.$<>*{}\"' ,]++(?:(?<=[\s}])import\s|\(|=|;|:$|\{|(?<=[\"']))")
+_CALL = regex.compile(r"[\w.$]++\((?:[^()]++|\([^()]*+\))*+\)\s*[;:]?$")
+_LEAVES = regex.compile(r"(?:return|break|continue|throw|raise|yield|delete|goto|pass)\b[^.!?]*+(?<=;)$")
+_BLOCK = regex.compile(r"(?:else|try|finally|do)\s*[:{]$|[)\]}]+[;,]?$")
+_TWO = regex.compile(r"\);\s+\w")
+
+
+def is_code(s: str) -> bool:
+    """Whether a line of a comment is a statement rather than words."""
+    if s[-1:] in (";", "{", "}") and ("=" in s or "(" in s):
+        return True
+    if _CONTROL.match(s) and not set("<>=()[]!").isdisjoint(s) and (s[-1] in ":{" or _BRANCH.search(s) or regex.match(r"(?:if|for|while)\s*\(", s)):
+        return True
+    return bool(_ASSIGNS.match(s) or _CALL.match(s) or _LEAVES.match(s) or _BLOCK.match(s) or _DECLARES.match(s) or _TWO.search(s))
+
+
 _TODO = regex.compile(r"(?i)^\W*(?:todo|fixme|xxx|tbd|hack|wip)\b")
 #: What tools and people put where documentation is missing, as whole lines.
 _PLACEHOLDER = regex.compile(
@@ -74,7 +86,7 @@ _PLACEHOLDER = regex.compile(
     | (?:no|missing|insert|add|write|your|undocumented|put)\s+(?:a\s+)?(?:doc\w*|description|comments?|summary|text)(?:\s+(?:yet|here|available|provided|given|found|needed))* | undocumented | not\s+(?:yet\s+)?documented(?:\s+yet)? | to\s+be\s+(?:documented|done|defined|written|determined|added)
     | auto-?\s*generated\s+(?:method|function|constructor|catch|class|code)?\s*(?:stub|block|body|docs?|docstring|comment)\b.* | (?:this\s+is\s+a\s+)?placeholder(?:\s+(?:text|doc\w*|description|comment))?(?:\W*(?:to\s+be\s+replaced|for\s+now|please|replace|until)\b.*)? | lorem\s+ipsum\b.* | (?:documentation|description|docs?)\s+(?:goes|will\s+go|to\s+follow|follows|coming|pending)\b.* | \{?@?inherit-?doc\}? )\W*$"""
 )
-_TAGS = regex.compile(r"""(?ix)\{@\w+\s*([^}]*)\} | ^\s*[@\\](?:param|arg|argument|prop|property)\s*(?:\{[^}]*\}\s*|\[[a-z, ]+\]\s*)?[\[\]\w.$*=]*\s*-? | [@\\][a-z]\w*(?:\s*\{[^}]*\})? | ^\s*:\w+(?:\s+[\w\s.\[\],|*]+?)?: | ^\s*(?:args|arguments|params?|parameters|returns?|raises|yields|throws|exceptions?|attributes|notes?|examples?|see\s+also|keyword\s+args)\s*:?\s*$ | </?[a-z][^>]*>""")
+_TAGS = regex.compile(r"""(?ix)\{@\w+\s*([^}]*)\} | ^\s*[@\\](?:param|arg|argument|prop|property)\s*(?:\{[^}]*\}\s*|\[[a-z, ]+\]\s*)?[\[\]\w.$*=]*\s*-? | [@\\][a-z]\w*(?:\s*\{[^}]*\})? | ^\s*:\w+(?:\s+[\w\s.\[\],|*]+?)?: | ^\s*(?:args|arguments|params?|parameters|returns?|raises|yields|throws|exceptions?|attributes|notes?|examples?|see\s+also|keyword\s+args)\s*:?\s*$ | </?[a-z][^<>]*>""")
 _PARAM_LINE = regex.compile(r"^\s*[-*]?\s*`?\*{0,2}(\w+)`?\s*(?:\([^)]*\))?\s*:")
 _WORD = regex.compile(r"\p{Han}|\p{Hiragana}|\p{Katakana}|[\p{L}\p{M}]+(?:['’][\p{L}]+)*")
 _SPLIT = regex.compile(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?[\p{Ll}\p{Lo}\p{M}]+|\p{L}")
@@ -103,7 +115,7 @@ def kept_lines(text: str) -> list[str]:
     out = []
     for line in text.replace("\r", "").split("\n"):
         s = line.strip()
-        if _RULER.match(s) or _DIRECTIVE.match(s) or _LICENCE.search(s) or _TODO.match(s) or _PLACEHOLDER.match(s) or any(p.match(s) for p in _CODE):
+        if _RULER.match(s) or _DIRECTIVE.match(s) or _LICENCE.search(s) or _TODO.match(s) or _PLACEHOLDER.match(s) or is_code(s):
             continue
         out.append(s)
     return out
