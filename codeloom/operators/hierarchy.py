@@ -36,39 +36,39 @@ def latest_nodes(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_
     return one.join(up, "parent", "left").select("nid", "id", "name", "grp", F.when(F.col("grp").eqNullSafe(F.col("pgrp")), F.col("parent")).alias("parent"))
 
 
-def hierarchy(nodes: DataFrame) -> DataFrame:
+def hierarchy(nodes: DataFrame, paths: bool = True) -> DataFrame:
     """`nid, id, root_id, depth, path, ancestors` of each node (of `latest_nodes`).
 
-    path: the names from the root, with a slash before each; ancestors: the ids from the root to the parent. On a cycle
-    depth is -1, below one -2; root_id is then the cycle's smallest id, path and ancestors are null.
+    path: the names from the root, with a slash before each; ancestors: the ids from the root to the parent; both only
+    with `paths`, as they are most of what is shuffled. On a cycle depth is -1, below one -2; root_id is then the
+    cycle's smallest id, path and ancestors are null.
     """
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = cut(nodes)
     # pairs: every node below `top` by 1..STEP levels; `names` and `ids` lead from below top to the node
-    pairs = nodes.where("parent is not null").select(F.col("parent").alias("top"), "nid", F.lit(1).alias("far"), F.array(F.coalesce("name", F.lit(""))).alias("names"), F.array("id").alias("ids"))
-    pairs = cut(pairs)
+    lists = ["names", "ids"] if paths else []
+    trail = {"names": F.array(F.coalesce("name", F.lit(""))), "ids": F.array("id")}
+    pairs = cut(nodes.where("parent is not null").select(F.col("parent").alias("top"), "nid", "id", F.lit(1).alias("far"), *(trail[c].alias(c) for c in lists)))
     span = 1
     while span < STEP:
-        last = pairs.where(F.col("far") == span).select("top", F.col("nid").alias("mid"), F.col("names").alias("n0"), F.col("ids").alias("i0"))
+        last = pairs.where(F.col("far") == span).select("top", F.col("nid").alias("mid"), *(F.col(c).alias(f"{c}0") for c in lists))
         below = pairs.withColumnRenamed("top", "mid")
-        more = last.join(below, "mid").select("top", "nid", (F.col("far") + span).alias("far"), F.concat("n0", "names").alias("names"), F.concat("i0", "ids").alias("ids"))
+        more = last.join(below, "mid").select("top", "nid", "id", (F.col("far") + span).alias("far"), *(F.concat(f"{c}0", c).alias(c) for c in lists))
         pairs = cut(pairs.unionByName(more))
         span *= 2
     pairs = cut(pairs.repartition(parts, "top").sortWithinPartitions("top"))
-    levels = [
-        cut(nodes.where("parent is null").select("nid", "id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.concat(F.lit("/"), F.coalesce("name", F.lit(""))).alias("path"), F.expr("cast(array() as array<string>)").alias("ancestors")))
-    ]
+    start = {"path": F.concat(F.lit("/"), F.coalesce("name", F.lit(""))), "ancestors": F.expr("cast(array() as array<string>)")}
+    carried = list(start) if paths else []
+    levels = [cut(nodes.where("parent is null").select("nid", "id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), *(start[c].alias(c) for c in carried)))]
     front = levels[0].withColumn("far", F.lit(STEP))
     while True:
-        above = front.where(F.col("far") == STEP).select(F.col("nid").alias("top"), F.col("id").alias("top_id"), "root_id", "depth", "path", "ancestors")
-        front = cut(
-            above.join(pairs, "top").select(
-                "nid", F.element_at("ids", -1).alias("id"), "root_id", (F.col("depth") + F.col("far")).alias("depth"),
-                F.concat("path", F.lit("/"), F.array_join("names", "/")).alias("path"),
-                F.concat("ancestors", F.array("top_id"), F.slice("ids", 1, F.size("ids") - 1)).alias("ancestors"), "far",
-            )
-        )
+        above = front.where(F.col("far") == STEP).select(F.col("nid").alias("top"), F.col("id").alias("top_id"), "root_id", "depth", *carried)
+        longer = {
+            "path": F.concat("path", F.lit("/"), F.array_join("names", "/")) if paths else None,
+            "ancestors": F.concat("ancestors", F.array("top_id"), F.slice("ids", 1, F.size("ids") - 1)) if paths else None,
+        }
+        front = cut(above.join(pairs, "top").select("nid", "id", "root_id", (F.col("depth") + F.col("far")).alias("depth"), *(longer[c].alias(c) for c in carried), "far"))
         if front.isEmpty():
             break
         levels.append(front.drop("far"))
@@ -83,10 +83,10 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
         jump = cut(jump.join(far, "to").select("nid", F.col("to2").alias("to"), F.least("least", "least2").alias("least")))
     on_cycle = jump.select(F.col("to").alias("nid")).distinct()
     roots = jump.join(on_cycle, "nid").select(F.col("nid").alias("to"), F.col("least").alias("root_id"))
-    text, ids = F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<string>").alias("ancestors")
+    none = [F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<string>").alias("ancestors")] if paths else []
     wrong = (
         jump.join(roots, "to").join(on_cycle.withColumn("on", F.lit(True)), "nid", "left").join(lost.select("nid", "id"), "nid")
-        .select("nid", "id", "root_id", F.when(F.col("on"), -1).otherwise(-2).alias("depth"), text, ids)
+        .select("nid", "id", "root_id", F.when(F.col("on"), -1).otherwise(-2).alias("depth"), *none)
     )
     return reached.unionByName(wrong)
 

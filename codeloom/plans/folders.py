@@ -13,7 +13,7 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy(_nodes(spark, sf_dir)).selectExpr("id as folder_id", "root_id", "depth")
+    return hierarchy(_nodes(spark, sf_dir), paths=False).selectExpr("id as folder_id", "root_id", "depth")
 
 
 def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
-    return tree_stats(hierarchy(nodes), nodes)
+    return tree_stats(hierarchy(nodes, paths=False), nodes)
 
 
 _ID = "nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '')"
