@@ -41,6 +41,7 @@ _END = "\x00end"
 _FAR, _LATEST = "2200-01-01 00:00:00", "2199-01-01 00:00:00"
 #: Fixed values, as a Java character class: what can't be seen.
 _UNSEEN = r"\s\p{Z}\p{Cc}\p{Cf}\x{115f}\x{1160}\x{3164}\x{ffa0}\x{2800}\x{fe00}-\x{fe0f}\x{034f}"
+_COLUMNS = ("session_key", "kind", "id", "other", "role", "t", "ok")
 _OUT = "session_key string, kind string, id string, other string, role string, t bigint, ok boolean"
 
 
@@ -107,8 +108,8 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     if not state.hasTimedOut:
         last = state.get[1] if state.exists else 0
         for b in batches:
-            merge(held, zip(b["id"], b["role"], b["t"], b["seen"], strict=True))
-            last = max(last, int(b["event_ms"].max()))
+            merge(held, zip(*(b[c].tolist() for c in ("id", "role", "t", "seen")), strict=True))
+            last = max(last, *b["event_ms"].tolist())
         state.update((json.dumps(held, ensure_ascii=False), last))
         state.setTimeoutTimestamp(max(last + GAP_MS, state.getCurrentWatermarkMs() + 1))
         return
@@ -118,7 +119,7 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     else:
         rows = [(name, "message", i, None, m[0], m[1], valid(*m)) for i, m in held.items()]
     if rows:
-        yield pd.DataFrame(rows, columns=["session_key", "kind", "id", "other", "role", "t", "ok"]).astype({"t": "Int64"})
+        yield pd.DataFrame(dict(zip(_COLUMNS, map(list, zip(*rows, strict=True)), strict=True)), dtype=object)
 
 
 def conversation_stream(rows: DataFrame) -> DataFrame:
