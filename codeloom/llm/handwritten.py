@@ -121,7 +121,7 @@ def layout(code: str, limits: Limits) -> Layout:
                 long_texts += size
     outside += sum(map(len, _WORDS.findall(code, last)))
     literal = text + nums + long_texts
-    words = sum(map(len, _WORDS.findall(code))) if total < 1 << 16 else int(0.8 * solid)
+    words = sum(map(len, _WORDS.findall(code)))
     return Layout(
         lines=len(sizes), longest=max(sizes, default=0), mean=sum(sizes) / max(1, len(sizes)), long_share=sum(n for n in sizes if n > limits.long_line) / total,
         spaces=1 - solid / total, alnum=words / total, literals=literal / max(1, literal + outside), literal_chars=literal, numbers=nums / max(1, solid), encoded=max(map(len, _RUN.findall(code)), default=0),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from codeloom.llm.handwritten import file_kinds, kind_of
@@ -26,3 +28,12 @@ def test_copies_of_foreign_code(spark, rows):
     given = [(1, "vendor/x/a.py", "python", HAND, "k", "h"), (2, "src/mine.py", None, "\ufeff" + HAND.replace("\n", "\r\n"), "k", "h"), (3, "src/other.py", "", HAND + "x = 1\n", "k", "h"), (4, "vendor/y/__init__.py", "", "", "k", "h"), (5, "src/__init__.py", "", "", "k", "h"), (6, None, None, None, None, None), (2, "src/mine.py", None, HAND, "k", "h"), (7, "src/long.py", "python", HAND * 2000, "k", "h")]
     assert rows(file_kinds(spark.createDataFrame(given, SCHEMA))) == [(1, "third-party"), (2, "third-party")]
     assert file_kinds(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("times", [40, 4000])
+def test_word_characters_are_counted_at_every_size(times):
+    # long lines, hardly a blank and few word characters: a drawing, not minified code
+    rnd = random.Random(1)
+    text = "".join("".join(rnd.choices("+-=|*~<>:;", k=600)) + "ab\n" for _ in range(times // 4))
+    assert (len(text) > 1 << 16) == (times == 4000)
+    assert kind_of("a.css", None, text) is None
