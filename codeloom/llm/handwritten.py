@@ -141,10 +141,28 @@ def _table_like(code: str) -> bool:
     return False
 
 
+def _lines(code: str) -> Iterator[str]:
+    """The lines from the start, one at a time."""
+    at = 0
+    while (end := code.find("\n", at)) >= 0:
+        yield code[at:end]
+        at = end + 1
+    yield code[at:]
+
+
+def _lines_back(code: str) -> Iterator[str]:
+    """The lines from the end, one at a time."""
+    end = len(code)
+    while (at := code.rfind("\n", 0, end)) >= 0:
+        yield code[at + 1 : end]
+        end = at
+    yield code[:end]
+
+
 def opening(code: str) -> list[str]:
     """The lines of the comments that open a file, before its first code; comment signs stay."""
     out, block = [], False
-    for line in code.lstrip().split("\n", 60)[:60]:
+    for line in _lines(code.lstrip()):
         s = line.strip()
         if block:
             out.append(s)
@@ -164,7 +182,7 @@ def opening(code: str) -> list[str]:
 def closing(code: str) -> list[str]:
     """The comment lines that end a file, after its last code."""
     out = []
-    for line in reversed(code.rstrip().rsplit("\n", 10)[-10:]):
+    for line in _lines_back(code.rstrip()):
         s = line.strip()
         if s and not s.startswith(("#", "//", "/*", "*")):
             break

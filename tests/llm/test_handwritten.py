@@ -37,3 +37,11 @@ def test_word_characters_are_counted_at_every_size(times):
     text = "".join("".join(rnd.choices("+-=|*~<>:;", k=600)) + "ab\n" for _ in range(times // 4))
     assert (len(text) > 1 << 16) == (times == 4000)
     assert kind_of("a.css", None, text) is None
+
+
+def test_comments_that_open_and_close_are_read_whole():
+    licence = "".join(f"# Clause {i} of the terms.\n#\n" for i in range(100))
+    assert kind_of("a.py", None, licence + "# Upstream: the fen project, BSD.\n" + HAND) == "third-party"
+    assert kind_of("a.js", None, "/*\n" + " * Terms.\n\n" * 100 + " * Code generated by tool. DO NOT EDIT.\n */\nf();\n") == "generated"
+    assert kind_of("a.py", None, HAND + "\n# @generated by tool v1.2\n" + licence) == "generated"
+    assert kind_of("a.py", None, licence + HAND + "# Upstream: the fen project, BSD.\n" + HAND + licence) is None
