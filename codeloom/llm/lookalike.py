@@ -2,15 +2,17 @@
 
 Per token the sets of scripts in which each character can be spelled are intersected. Look-alike letters first become
 Latin; if the intersection lacks Latin but has one script, the token is spelled in that script again (`работа` with a
-Latin `a` becomes all Cyrillic); an empty intersection is a mixed token and keeps its Latin look-alikes; a token that
-Latin and another script can spell (whole-script confusable) is spelled in Latin. The remaining forms are normalised:
+Latin `a` becomes all Cyrillic); an empty intersection is a mixed token and keeps its folded letters; a token that
+Latin and another script can spell (whole-script confusable) is spelled in Latin, one that several others but not Latin
+can spell in the first of them, Cyrillic before Greek. The remaining forms are normalised:
 full-width and half-width forms, ligatures and other compatibility forms, composed accents (NFC), the no-break and other
 single spaces, hyphens, and default-ignorable characters, which are dropped (a joiner between two pictographs stays).
 Raised and lowered digits, circled and styled letters differ to the eye and stay.
 
 Look-alikes come from the confusables data of the ICU library that Spark ships: letters with case of another script
-whose skeleton is that of an ASCII letter of the same case, and marks of another script with the skeleton of an ASCII
-mark. The table is built on the driver and sent with the task.
+whose skeleton is that of an ASCII letter of the same case, letters of two such scripts that share any other skeleton
+(Cyrillic and Greek `п` and `π`; they become the one of the least code point until the token's script is known), and
+marks of another script with the skeleton of an ASCII mark. The table is built on the driver and sent with the task.
 
 Defined results: null stays null and is in no pair; texts without a visible character are in no pair; equal texts are no
 pair but members of one class; very long texts are handled whole.
@@ -36,6 +38,8 @@ _DIFFERENT = {"\u017f", "\u1e9b"}
 _HYPHENS = "\u2010\u2011\u2043\ufe63\uff0d"
 
 _SCRIPT = regex.compile(r"\p{Latin}|(?P<Greek>\p{Greek})|(?P<Cyrillic>\p{Cyrillic})|(?P<Armenian>\p{Armenian})|(?P<Coptic>\p{Coptic})|(?P<Cherokee>\p{Cherokee})")
+#: The scripts that come first where several can spell a token.
+_ORDER = {"Cyrillic": 0, "Greek": 1}
 _PICTURE_JOINER = regex.compile(r"(?<=\p{Extended_Pictographic}[\ufe0f\U0001f3fb-\U0001f3ff]?)\u200d(?=\p{Extended_Pictographic})")
 _KEPT_JOINER = "\ufdd0"  # stands for such a joiner meanwhile
 _IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}|[\x00-\x08\x0e-\x1f\x7f]")
@@ -52,7 +56,7 @@ def script_of(ch: str) -> str | None:
 
 
 def lookalikes(spark: SparkSession) -> dict[str, str]:
-    """Character of another script -> ASCII character of the same look and case, from ICU's confusables."""
+    """Character of another script -> ASCII character of the same look and case, from ICU's confusables, else the least letter of the other scripts that share it."""
     icu = spark._jvm.com.ibm.icu.text
     checker = getattr(icu, "SpoofChecker$Builder")().build()
     chars = [chr(i) for i in range(0x21, 0x20000) if not 0xD800 <= i < 0xF900 and unicodedata.category(chr(i))[0] in "LPS" and (i < 0x7F or not regex.match(r"\p{Common}|\p{Inherited}|\p{Latin}|\p{Han}|\p{Hangul}", chr(i)))]
@@ -65,6 +69,13 @@ def lookalikes(spark: SparkSession) -> dict[str, str]:
     for c, s in zip(chars, skeletons, strict=True):
         if c > "\x7f" and kind(c) in ("Lu", "Ll", "P", "S") and (to := ascii_of.get((s, kind(c)))):
             found[c] = to
+    groups: dict[tuple[str, str], list[str]] = {}
+    for c, s in zip(chars, skeletons, strict=True):
+        if kind(c) in ("Lu", "Ll") and script_of(c) and (s, kind(c)) not in ascii_of and unicodedata.is_normalized("NFD", c):
+            groups.setdefault((s, kind(c)), []).append(c)
+    for group in groups.values():
+        if len({script_of(c) for c in group}) > 1:
+            found |= dict.fromkeys(group, min(group))
     return found
 
 
@@ -95,6 +106,7 @@ class Normalizer:
             if (s := script_of(ch)) and s != "Latin":
                 self.respell.setdefault(s, {})[to] = ch
         self.scripts = {c: frozenset({"Latin"} | {s for s, m in self.respell.items() if c in m}) for c in map(chr, range(0x41, 0x7B)) if c.isalpha()}
+        self.scripts |= {c: frozenset(s for s, m in self.respell.items() if c in m) for c in set(table.values()) if not c.isascii()}
         cased = r"\p{Greek}\p{Cyrillic}\p{Armenian}\p{Coptic}\p{Cherokee}"
         # from a word's start and without going back, so that words of any length take time in proportion
         self.other = regex.compile(rf"(?V1)(?<![\p{{L}}\p{{M}}])[[\p{{L}}\p{{M}}]--[{cased}]]*+[{cased}][\p{{L}}\p{{M}}]*+")
@@ -109,7 +121,7 @@ class Normalizer:
                 common = own if common is None else common & own
         if not common or "Latin" in common:
             return word
-        return unicodedata.normalize("NFC", parts.translate(str.maketrans(self.respell.get(min(common), {}))))
+        return unicodedata.normalize("NFC", parts.translate(str.maketrans(self.respell.get(min(common, key=lambda s: (_ORDER.get(s, 9), s)), {}))))
 
     def text(self, s: str) -> str:
         if s.isascii():

@@ -62,3 +62,19 @@ def test_copies_link_to_each_other_text_once(spark, rows):
 def test_empty_and_null(spark, rows):
     assert lookalike_pairs(looks(docs(spark, []))).collect() == []
     assert rows(normalized(docs(spark, [None, "", "\uff41"]))) == [(0, None), (1, ""), (2, "a")]
+
+
+#: Cyrillic and Greek letters that look alike, but like no ASCII letter.
+SHARED = [("\u0413", "\u0393"), ("\u0424", "\u03a6"), ("\u041f", "\u03a0"), ("\u041b", "\u039b"), ("\u043a", "\u03ba"), ("\u0444", "\u03c6"), ("\u043f", "\u03c0")]
+
+
+@pytest.mark.parametrize(("cyrillic", "greek"), SHARED)
+def test_letters_shared_by_two_other_scripts(spark, form, cyrillic, greek):
+    # a word with a letter that only Cyrillic has, one with a letter that only Greek has, and the letter alone
+    assert form(greek + "\u0436\u0431") == form(cyrillic + "\u0436\u0431") == cyrillic + "\u0436\u0431"
+    assert form(cyrillic + "\u03be\u03b4") == form(greek + "\u03be\u03b4") == greek + "\u03be\u03b4"
+    assert form(greek) == form(cyrillic) == cyrillic
+    for t in (greek + "\u0436\u0431", cyrillic + "\u03be\u03b4", cyrillic, greek + cyrillic + "az"):
+        assert form(form(t)) == form(t)
+    texts = [f"\u0436\u0431{cyrillic} x", f"\u0436\u0431{greek} x", f"\u0436\u0431{cyrillic.swapcase()} x"]
+    assert sorted(map(tuple, lookalike_pairs(looks(docs(spark, texts))).collect())) == [(0, 1)]
