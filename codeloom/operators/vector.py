@@ -70,8 +70,8 @@ def _block(rows: DataFrame, key: str, vector: str, held: list, k: int) -> DataFr
     return rows.select(key, vector).mapInPandas(run, f"query {kind}, {key} {kind}, score double")
 
 
-def embed(texts: DataFrame, key: str, text: str, dims: int = 64, most: int = 1843) -> DataFrame:
-    """`key, embedding`: hashed bags of words of unit length, the same on every run; texts above `most` characters are cut there and end with a mark, as for models with an input limit."""
+def embed(texts: DataFrame, key: str, text: str, dims: int = 64, most: int | None = None) -> DataFrame:
+    """`key, embedding`: hashed bags of words of unit length, the same on every run, of whole texts; if `most` is given, texts above so many characters are cut there and end with a mark, as for models with an input limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
@@ -80,7 +80,7 @@ def embed(texts: DataFrame, key: str, text: str, dims: int = 64, most: int = 184
         for b in batches:
             out = []
             for t in b[text]:
-                t = "" if t is None else t if len(t) <= most else t[: most - 20] + " [...]"
+                t = "" if t is None else t if most is None or len(t) <= most else t[: most - 20] + " [...]"
                 v = np.zeros(dims)
                 for w in re.findall(r"\w+", t.lower()):
                     h = zlib.crc32(w.encode())

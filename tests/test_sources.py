@@ -94,3 +94,12 @@ def test_neighbours_in_blocks(spark, rows):
     assert rows(V.neighbours(df, q, "k", "v", 4, block=2)) == rows(V.neighbours(df, q, "k", "v", 4))
     assert len(V.neighbours(df, q, "k", "v", 4).collect()) == 12
     assert V.neighbours(df, q.where("false"), "k", "v").collect() == []
+
+
+def test_embeddings_take_whole_texts(spark):
+    start = "word " * 500
+    df = spark.createDataFrame([(1, start + "alpha"), (2, start + "omega " * 300), (3, None)], "k int, t string")
+    whole = {r[0]: r[1] for r in V.embed(df, "k", "t").collect()}
+    assert whole[1] != whole[2] and not any(whole[3])
+    cut = {r[0]: r[1] for r in V.embed(df, "k", "t", most=1843).collect()}
+    assert cut[1] == cut[2]
