@@ -187,22 +187,20 @@ def code_context(graph: Graph, qn: str, most: int = 30) -> DataFrame:
     return out
 
 
-def ancestors(graph: Graph, rel: str = "INHERITS", most: int = 100) -> DataFrame:
+def ancestors(graph: Graph, rel: str = "INHERITS") -> DataFrame:
     """`qn, ancestor, depth`: all ancestors of each class with their least distance; cycles end where they began.
 
-    Doubling: pairs up to 2^k apart come from k rounds, so deep hierarchies take few.
+    Doubling: pairs up to 2^k apart come from k rounds, so deep hierarchies take few; the first round without a new pair is the last.
     """
 
 
     pairs = cut(graph.rel(rel).where("src <> dst").select(F.col("src").alias("qn"), F.col("dst").alias("ancestor"), F.lit(1).alias("depth")).distinct())
-    span, n = 1, pairs.count()
-    while span < most:
+    before, n = 0, pairs.count()
+    while n != before:
         upper = pairs.select(F.col("qn").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
         longer = pairs.join(upper, "ancestor").select("qn", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).where("qn <> ancestor")
         pairs = cut(pairs.unionByName(longer).groupBy("qn", "ancestor").agg(F.min("depth").alias("depth")))
-        span, before, n = span * 2, n, pairs.count()
-        if n == before:
-            break
+        before, n = n, pairs.count()
     return pairs
 
 

@@ -110,6 +110,17 @@ def test_inheritance_takes_the_nearest(make, rows):
     assert rows(C.overrides(g)) == [("p.c.m", "p.a.m"), ("p.d.m", "p.c.m")]
 
 
+def test_inheritance_of_any_depth(make, rows):
+    # a chain of 300 classes, methods at its ends only; a cycle of 5
+    chain, cycle = [f"p.c{i}" for i in range(300)], [f"p.y{i}" for i in range(5)]
+    up = [*zip(chain, chain[1:]), *zip(cycle, [*cycle[1:], cycle[0]])]
+    g = make([node(c, "Class") for c in chain + cycle], [(a, "INHERITS", b) for a, b in up] + [(c, "DEFINES_METHOD", f"{c}.m") for c in (chain[0], chain[-1])])
+    got = {(r["qn"], r["ancestor"]): r["depth"] for r in C.ancestors(g).collect()}
+    assert got == {(chain[i], chain[j]): j - i for i in range(300) for j in range(i + 1, 300)} | {(cycle[i], cycle[(i + d) % 5]): d for i in range(5) for d in range(1, 5)}
+    assert rows(C.overrides(g)) == [("p.c0.m", "p.c299.m")]
+    assert rows(C.inherited_methods(g).where("qn in ('p.c0', 'p.c1')"), "qn", "found", "depth") == [("p.c0", "p.c0.m", 0), ("p.c1", "p.c299.m", 298)]
+
+
 def test_edges_are_a_set_with_both_ends(tiny, rows):
     assert len(rows(G.upsert_edges(tiny.edges, tiny.nodes))) == 6
 
