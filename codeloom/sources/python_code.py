@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "module string, kind string, qn string, label string, name string, target string, n int, start_line int, end_line int, docstring string, decorators array<string>, digest string, types map<string,string>"
-#: Calls of one scope at most.
-CALLS_CAP = 5000
 
 
 def module_name(project: str, path: str) -> str:
@@ -48,7 +46,6 @@ class _Reader(ast.NodeVisitor):
         self.scope: list[tuple[str, str]] = []  # (name, F or C)
         self.rows: list[dict] = []
         self.types: list[dict[str, str]] = [{}]
-        self.calls = [0]
 
     @property
     def qn(self) -> str:
@@ -100,9 +97,7 @@ class _Reader(ast.NodeVisitor):
                 types |= {name: t for x in n.targets if (name := _dotted(x))}
         self.scope.append((node.name, "F"))
         self.types.append(types)
-        self.calls.append(0)
         self._body(node.body)
-        self.calls.pop()
         self.types.pop()
         self.scope.pop()
 
@@ -113,18 +108,16 @@ class _Reader(ast.NodeVisitor):
             if isinstance(s, (ast.Assign, ast.AnnAssign)) and (not self.scope or self.scope[-1][1] == "C"):
                 for x in s.targets if isinstance(s, ast.Assign) else [s.target]:
                     if isinstance(x, ast.Name) and not x.id.startswith("_"):
-                        self.add("var", qn=f"{self.qn}.{x.id}", label="Variable", name=x.id, start_line=s.lineno, end_line=s.end_lineno, digest=hashlib.sha256(ast.unparse(s)[:500].encode()).hexdigest())
+                        self.add("var", qn=f"{self.qn}.{x.id}", label="Variable", name=x.id, start_line=s.lineno, end_line=s.end_lineno, digest=hashlib.sha256(ast.unparse(s).encode()).hexdigest())
             self.visit(s)
 
     def visit_Module(self, node: ast.Module) -> None:
         self._body(node.body)
 
     def _call(self, name: str, line: int) -> None:
-        self.calls[-1] += 1
-        if self.calls[-1] <= CALLS_CAP:
-            first = name.split(".")[0]
-            types = {k: v for k, v in self.types[-1].items() if k == first or name.startswith(k + ".")}
-            self.add("call", qn=self.qn, name=name, target=self.owner, n=line, types=types)
+        first = name.split(".")[0]
+        types = {k: v for k, v in self.types[-1].items() if k == first or name.startswith(k + ".")}
+        self.add("call", qn=self.qn, name=name, target=self.owner, n=line, types=types)
 
     def visit_Call(self, node: ast.Call) -> None:
         name = _dotted(node.func)

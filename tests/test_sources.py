@@ -103,3 +103,11 @@ def test_embeddings_take_whole_texts(spark):
     assert whole[1] != whole[2] and not any(whole[3])
     cut = {r[0]: r[1] for r in V.embed(df, "k", "t", most=1843).collect()}
     assert cut[1] == cut[2]
+
+
+def test_every_call_and_whole_constants():
+    code = "".join(f"f{i}()\n" for i in range(6000)) + "A = '" + "x" * 600 + "y'\n"
+    found = python_code.read_file("p", "m.py", code)
+    assert [r["name"] for r in found if r["kind"] == "call"] == [f"f{i}" for i in range(6000)]
+    digest = lambda c: [r["digest"] for r in python_code.read_file("p", "m.py", c) if r["kind"] == "var"]
+    assert digest(code) != digest(code.replace("xy'", "xz'"))
