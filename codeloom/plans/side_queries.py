@@ -12,7 +12,7 @@ from codeloom.operators import diff as D
 from codeloom.operators import text as X
 from codeloom.operators import vector as V
 from codeloom.operators.search import matches
-from codeloom.sources import manifests
+from codeloom.sources import manifests, python_code
 from codeloom.sources.tables import table
 from codeloom.streaming import changes as H
 
@@ -80,9 +80,11 @@ _query(
     "manifest_dependencies", "select * from (values ('a/pyproject.toml', 'numpy', '>=1.2', 'main'), ('a/pyproject.toml', 'requests', '', 'main'), ('a/pyproject.toml', 'pytest', '~=8', 'dev'), ('requirements.txt', 'flask', '==3.0', 'main'), ('package.json', 'left-pad', '^1', 'main'), ('package.json', 'jest', '29', 'dev'), ('go.mod', 'x.org/a', 'v1.2.3', 'main'), ('go.mod', 'x.org/b', 'v0.1.0', 'main')) v(path, name, version, dependency_group)",
     lambda t: manifests.read(_REGION(t, _MANIFESTS, "path string, text string")),
 )
+# each import stands on the line of its id
+_RELATIVE = [("p", "p/a/b.py", "from . import x\nfrom ..x import y\n"), ("p", "p/a/b/c.py", "\n\nfrom . import x\n")]
 _query(
     "relative_import_resolve", "select * from (values (1, 'p.a.x'), (2, 'p.x.y'), (3, 'p.a.b.x')) v(id, target)",
-    lambda t: _REGION(t, [(1, "p.a.b", 1, "x"), (2, "p.a.b", 2, "x.y"), (3, "p.a.b.c", 1, "x")], "id int, module string, dots int, name string").select("id", F.array_join(F.concat(F.slice(F.split("module", r"\."), F.lit(1), F.size(F.split("module", r"\.")) - F.col("dots")), F.split("name", r"\.")), ".").alias("target")),
+    lambda t: python_code.read(_REGION(t, _RELATIVE, "project string, path string, code string")).where("kind = 'import'").select(F.col("n").alias("id"), "target"),
 )
 
 # papers: documents stand for them, their first line for a title

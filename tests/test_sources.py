@@ -111,3 +111,13 @@ def test_every_call_and_whole_constants():
     assert [r["name"] for r in found if r["kind"] == "call"] == [f"f{i}" for i in range(6000)]
     digest = lambda c: [r["digest"] for r in python_code.read_file("p", "m.py", c) if r["kind"] == "var"]
     assert digest(code) != digest(code.replace("xy'", "xz'"))
+
+
+def test_relative_imports_are_read_by_the_library(spark, rows, monkeypatch):
+    from codeloom.plans import side_queries
+
+    reads = []
+    read = python_code.read
+    monkeypatch.setattr(python_code, "read", lambda *a, **k: reads.append(a) or read(*a, **k))
+    got = side_queries.QUERIES["relative_import_resolve"](spark, "/root/testdata/sf0.001")
+    assert rows(got) == [(1, "p.a.x"), (2, "p.x.y"), (3, "p.a.b.x")] and len(reads) == 1
