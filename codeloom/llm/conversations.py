@@ -1,14 +1,20 @@
 """Conversations put together again from a stream of message rows.
 
-The stream is keyed by session. Each key's state buffers its messages, merged by id as copies arrive (content of any
-copy that has some), until the watermark passes the session's last event by a gap: then the session is closed, validated
-and its exchanges are emitted. Event time is the later of creation and arrival, so a message that arrives late is not
-late for the watermark. When the source has ended, an end marker moves the watermark past everything, which closes what
-is still open; state, offsets and output lie in the shared folder, so the work goes on after a loss.
-
-A session with more than HOT rows is spread over several keys by message id. Its keys emit their merged messages
-instead; these are sorted by range over all tasks, each task checks its run of them, and the runs are joined at their
-ends, so no task holds a whole hot session.
+The stream's state is keyed by session and message, so every state row is of bounded size, however long a session is:
+copies of one message are merged in it as they arrive (content of any copy that has some). Event time is when a row
+reached the source (its file's modification time), which is never behind the watermark because files are read in that
+order; how late a message is by its own clock doesn't matter, it is buffered with the others. When the watermark has
+passed a period of arrival, the period is closed: its messages leave the state, its sessions are validated in that
+micro-batch and their exchanges are written. A session whose messages were closed in several periods has been judged too
+early: it is revised from all its messages when the results are read, so the answer doesn't depend on how many
+micro-batches there were, nor on the order of the files. Rows dropped behind the watermark are counted, and if there are
+any (a file that carries an old time), the stream is run again with a watermark that no row can be behind.
+
+When the source has ended, an end marker moves the watermark past everything, which closes what is still open. State,
+offsets and output lie in the shared folder, so the work goes on after a loss.
+
+Validation sorts messages by session and time over all tasks; each task checks its runs of them, and the runs are joined
+at their ends, so no task holds a whole hot session.
 
 Defined results: ids of sessions are equal after trimming and ignoring case, a blank one names none; times are read as
 seconds, milli-, micro- or nanoseconds by their size, one that isn't positive is none; a message without id breaks its
@@ -17,32 +23,32 @@ session; repeated rows are copies of one message; an empty table gives no rows.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codeloom.functions.keys import norm_id, trimmed
 from codeloom.operators.lineage import shared_dir, stored
 
-#: A session is closed when the watermark is so far past its last event; how far events may be out of order.
-GAP_MS, DELAY = 60 * 60 * 1000, "10 minutes"
-#: Rows of a session above which it is spread over several keys.
-HOT = 50_000
+#: A period of arrival that is closed as a whole; how far files may be out of order.
+PERIOD, DELAY = "1 hour", "10 minutes"
+#: A delay that no row exceeds.
+_ALL = "36500 days"
+#: Files of a micro-batch at most.
+FILES = 10_000
 #: How roles are written.
 ROLES = {"user": "u", "human": "u", "assistant": "a", "ai": "a", "bot": "a", "system": "s"}
-_END = "\x00end"
-#: The marker's time, and the latest that an event counts as.
-_FAR, _LATEST = "2200-01-01 00:00:00", "2199-01-01 00:00:00"
+#: The end marker's session and time.
+_END, _FAR = "\x00end", "2200-01-01 00:00:00"
 #: Fixed values, as a Java character class: what can't be seen.
 _UNSEEN = r"\s\p{Z}\p{Cc}\p{Cf}\x{115f}\x{1160}\x{3164}\x{ffa0}\x{2800}\x{fe00}-\x{fe0f}\x{034f}"
-_COLUMNS = ("session_key", "kind", "id", "other", "role", "t", "ok")
-_OUT = "session_key string, kind string, id string, other string, role string, t bigint, ok boolean"
+_MESSAGE = "session_key string, id string, role string, t bigint, seen boolean"
+_EXCHANGE = "session_key string, user_message_id string, reply_message_id string"
 
 
 def epoch_ms(col: Column) -> Column:
@@ -52,112 +58,87 @@ def epoch_ms(col: Column) -> Column:
 
 
 def prepared(messages: DataFrame) -> DataFrame:
-    """`session_key, id, role, t, seen, event`: what validation needs of a row; the texts stay behind."""
+    """`session_key, id, role, t, seen`: what validation needs of a row; the texts stay behind. role is null where it isn't known."""
     role = F.lower(trimmed("role"))
-    code = F.lit("?")
+    code = F.lit(None).cast("string")
     for name, short in ROLES.items():
         code = F.when(role == name, short).otherwise(code)
-    t = epoch_ms(F.col("created_at"))
-    arrived = F.col("received_at").cast("timestamp")
-    return messages.select(
-        norm_id("session_id").alias("session_key"), "id", code.alias("role"), t.alias("t"), F.coalesce(F.col("content").rlike(f"[^{_UNSEEN}]"), F.lit(False)).alias("seen"),
-        F.least(F.coalesce(F.greatest(F.timestamp_millis(t), arrived), F.lit("1970-01-01 00:00:00").cast("timestamp")), F.lit(_LATEST).cast("timestamp")).alias("event"),
-    ).where("session_key is not null")
-
-
-def merge(held: dict, rows: Iterator[tuple]) -> None:
-    """Adds rows `id, role, t, seen` to the messages `{id: [role, t, seen]}`."""
-    for i, role, t, seen in rows:
-        if i is None:
-            held[""] = ["?", None, False]
-            continue
-        t = None if t is None or t != t else int(t)
-        if (m := held.get(i)) is None:
-            held[i] = [role, t, bool(seen)]
-        else:
-            m[0] = role if m[0] == "?" else m[0]
-            m[1] = t if m[1] is None else max(m[1], t or 0)
-            m[2] = m[2] or bool(seen)
-
-
-def valid(role: str, t: int | None, seen: bool) -> bool:
-    return role != "?" and t is not None and seen
-
-
-def order(i: str, role: str, t: int) -> tuple:
-    return t, role != "u", i
-
-
-def exchanges(held: dict) -> list[tuple[str, str]]:
-    """The exchanges of a whole conversation; empty if it isn't sound."""
-    if not all(valid(*m) for m in held.values()):
-        return []
-    turns = sorted((order(i, m[0], m[1]), m[0], i) for i, m in held.items() if m[0] != "s")
-    if len(turns) < 2 or len(turns) % 2 or any(role != "ua"[k % 2] for k, (_, role, _) in enumerate(turns)):
-        return []
-    return [(turns[k][2], turns[k + 1][2]) for k in range(0, len(turns), 2)]
-
-
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    name, shard = key
-    if name == _END:
-        for _ in batches:
-            pass
-        return
-    held = json.loads(state.get[0]) if state.exists else {}
-    if not state.hasTimedOut:
-        last = state.get[1] if state.exists else 0
-        for b in batches:
-            merge(held, zip(*(b[c].tolist() for c in ("id", "role", "t", "seen")), strict=True))
-            last = max(last, *b["event_ms"].tolist())
-        state.update((json.dumps(held, ensure_ascii=False), last))
-        state.setTimeoutTimestamp(max(last + GAP_MS, state.getCurrentWatermarkMs() + 1))
-        return
-    state.remove()
-    if shard < 0:
-        rows = [(name, "exchange", u, a, None, None, True) for u, a in exchanges(held)]
-    else:
-        rows = [(name, "message", i, None, m[0], m[1], valid(*m)) for i, m in held.items()]
-    if rows:
-        yield pd.DataFrame(dict(zip(_COLUMNS, map(list, zip(*rows, strict=True)), strict=True)), dtype=object)
-
-
-def conversation_stream(rows: DataFrame) -> DataFrame:
-    """The streaming operator: rows of `prepared` with `shard` (-1: the session has one key) to exchanges and messages of closed keys."""
-    rows = rows.withColumn("event_ms", F.unix_millis("event")).withWatermark("event", DELAY)
-    return rows.groupBy("session_key", "shard").applyInPandasWithState(_step, _OUT, "held string, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def replay(spark: SparkSession, path: str, hot: int = HOT) -> DataFrame:
-    """Runs the stream over all files at a path until its end; what it emitted."""
-    base = f"{shared_dir(spark).rstrip('/')}/codeloom/talk-{uuid.uuid4().hex}"
-    batch = spark.read.parquet(path)
-    known = prepared(batch)
-    # how many keys the few sessions above the limit get: at most one row for `hot` messages
-    crowded = stored(known.groupBy("session_key").count().where(F.col("count") > hot).select("session_key", F.ceil(F.col("count") / hot).cast("int").alias("keys")), "crowded")
-    marker = known.limit(0).schema
-    spark.createDataFrame([], marker).write.parquet(f"{base}/end")
-    ends = spark.readStream.schema(marker).parquet(f"{base}/end")
+    return messages.select(norm_id("session_id").alias("session_key"), "id", code.alias("role"), epoch_ms(F.col("created_at")).alias("t"), F.coalesce(F.col("content").rlike(f"[^{_UNSEEN}]"), F.lit(False)).alias("seen"), *(["event"] if "event" in messages.columns else [])).where("session_key is not null")
+
+
+def merged(rows: DataFrame, *also: Column | str) -> DataFrame:
+    """One row per message of each session: a role and the latest time that some copy has, and whether one has visible content."""
+    return rows.groupBy("session_key", "id", *also).agg(F.max("role").alias("role"), F.max("t").alias("t"), F.max("seen").alias("seen"))
+
+
+def conversation_stream(rows: DataFrame, delay: str = DELAY, period: str = PERIOD) -> DataFrame:
+    """The streaming operator: rows of `prepared` with their `event` to the messages of closed periods."""
+    return merged(rows.withWatermark("event", delay), F.window("event", period)).drop("window")
+
+
+class Store:
+    """What a stream has closed, in a shared folder: messages and exchanges of each micro-batch, written idempotently."""
+
+    def __init__(self, spark: SparkSession, base: str) -> None:
+        self.spark, self.base = spark, base
+
+    def add(self, messages: DataFrame, batch: int) -> None:
+        """Keeps the messages that a micro-batch closed and validates their sessions."""
+        path = f"{self.base}/messages/batch={batch}"
+        messages.where(F.col("session_key") != _END).write.mode("overwrite").parquet(path)
+        own = self.spark.read.schema(_MESSAGE).parquet(path)
+        if own.isEmpty():
+            return
+        exchanges(own).write.mode("overwrite").parquet(f"{self.base}/exchanges/batch={batch}")
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        if not self._holds(name):
+            return self.spark.createDataFrame([], schema + ", batch int")
+        return self.spark.read.schema(schema + ", batch int").option("basePath", f"{self.base}/{name}").parquet(f"{self.base}/{name}")
+
+    def _holds(self, name: str) -> bool:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def result(self) -> DataFrame:
+        """`session_key, user_message_id, reply_message_id` of all that was closed: as validated, or revised from all messages where a session was closed in parts."""
+        messages, found = self.read("messages", _MESSAGE), self.read("exchanges", _EXCHANGE).drop("batch")
+        parts = messages.groupBy("session_key").agg(F.min("batch").alias("a"), F.max("batch").alias("b"))
+        reopened = stored(parts.where("a < b").select("session_key"), "reopened")
+        if reopened.isEmpty():
+            return found
+        again = merged(messages.join(reopened, "session_key", "left_semi"))
+        return found.join(reopened, "session_key", "left_anti").unionByName(exchanges(again))
+
+
+def replay(spark: SparkSession, path: str, files: int = FILES, delay: str = DELAY) -> Store:
+    """Runs the stream over all files at a path, in micro-batches of so many files, until its end."""
+    store = Store(spark, f"{shared_dir(spark).rstrip('/')}/codeloom/talk-{uuid.uuid4().hex}")
+    schema = spark.read.parquet(path).schema
     # as a pattern, since the stream's source takes a single file only so
-    source = spark.readStream.schema(batch.schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    rows = prepared(source).unionByName(ends)
-    shard = F.when(F.col("keys").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.col("keys")).cast("int"))
-    rows = rows.join(crowded, "session_key", "left").withColumn("shard", shard).drop("keys")
-    end = spark.createDataFrame([(_END,)], "session_key string").select(
-        "session_key", F.lit("").alias("id"), F.lit("?").alias("role"), F.lit(0).cast("bigint").alias("t"), F.lit(False).alias("seen"), F.lit(_FAR).cast("timestamp").alias("event")
-    )
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
+    rows = prepared(source.select("*", F.col("_metadata.file_modification_time").alias("event")))
+    marker = "session_key string, id string, role string, t bigint, seen boolean, event timestamp"
+    end = f"{store.base}/end"
+    spark.createDataFrame([], marker).write.parquet(end)
+    rows = rows.unionByName(spark.readStream.schema(marker).parquet(end))
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.numRecentProgressUpdates": "1000000"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    dropped = 0
     try:
         for closing in (False, True):
             if closing:
-                end.coalesce(1).write.mode("append").parquet(f"{base}/end")
-            sink = conversation_stream(rows).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress")
-            sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+                spark.range(1).select(F.lit(_END).alias("session_key"), F.lit("").alias("id"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("bigint").alias("t"), F.lit(False).alias("seen"), F.lit(_FAR).cast("timestamp").alias("event")).coalesce(1).write.mode("append").parquet(end)
+            sink = conversation_stream(rows, delay).writeStream.foreachBatch(store.add).option("checkpointLocation", f"{store.base}/progress").outputMode("append").trigger(availableNow=True).start()
+            sink.awaitTermination()
+            dropped += sum(op["numRowsDroppedByWatermark"] for p in sink.recentProgress for op in p["stateOperators"])
     finally:
-        spark.conf.set(provider, before)
-    return spark.read.schema(_OUT).parquet(f"{base}/out")
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return replay(spark, path, files, _ALL) if dropped and delay != _ALL else store
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,32 +146,50 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, cols = TaskContext.get().partitionId(), ["session_key", "part", "kind", "first", "first_role", "last", "last_role", "ok"]
     run: list | None = None
     for b in batches:
-        out = []
-        for s, i, role, ok in zip(b["session_key"], b["id"], b["role"], b["ok"], strict=True):
-            if run is None or run[0] != s:
-                if run:
-                    out.append(tuple(run))
-                run = [s, part, "run", None, None, None, None, True]
-            run[7] = run[7] and bool(ok)
-            if role in ("u", "a"):
-                if run[3] is None:
-                    run[3], run[4] = i, role
-                elif run[6] == role:
+        s, ids, role, ok = (b[c].to_numpy() for c in ("session_key", "id", "role", "ok"))
+        if not len(s):
+            continue
+        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(s)]))
+        sound = np.logical_and.reduceat(ok.astype(bool), starts)
+        turn = np.flatnonzero((role == "u") | (role == "a"))
+        same = group[turn[1:]] == group[turn[:-1]] if len(turn) else np.zeros(0, bool)
+        before, after = turn[:-1][same], turn[1:][same]
+        np.logical_and.at(sound, group[before], role[before] != role[after])
+        pair = (role[before] == "u") & (role[after] == "a")
+        u, a = before[pair], after[pair]
+        out = [pd.DataFrame({"session_key": s[u], "part": part, "kind": "exchange", "first": ids[u], "first_role": "u", "last": ids[a], "last_role": "a", "ok": True})]
+        firsts, lasts = np.full(len(starts), -1), np.full(len(starts), -1)
+        lasts[group[turn]] = turn
+        firsts[group[turn[::-1]]] = turn[::-1]
+        pick = lambda values, at: [values[i] if i >= 0 else None for i in at]
+        ends = [list(r) for r in zip(s[starts], [part] * len(starts), ["run"] * len(starts), pick(ids, firsts), pick(role, firsts), pick(ids, lasts), pick(role, lasts), sound.tolist(), strict=True)]
+        if run is not None and run[0] == ends[0][0]:  # goes on from the batch before
+            more, ends[0] = ends[0], run
+            run[7] = run[7] and more[7]
+            if more[4] is not None:
+                if run[6] == more[4]:
                     run[7] = False
-                elif role == "a":
-                    out.append((s, part, "exchange", run[5], "u", i, "a", True))
-                run[5], run[6] = i, role
-        yield pd.DataFrame(out, columns=cols)
+                elif run[6] == "u":
+                    out.append(pd.DataFrame([(run[0], part, "exchange", run[5], "u", more[3], "a", True)], columns=cols))
+                if run[4] is None:
+                    run[3], run[4] = more[3], more[4]
+                run[5], run[6] = more[5], more[6]
+        elif run is not None:
+            ends.insert(0, run)
+        run = ends.pop()
+        yield pd.concat([*out, pd.DataFrame(ends, columns=cols)], ignore_index=True)
     if run:
         yield pd.DataFrame([tuple(run)], columns=cols)
 
 
-def joined_runs(messages: DataFrame) -> DataFrame:
-    """`session_key, user_message_id, reply_message_id` of spread sessions, from their messages."""
+def exchanges(messages: DataFrame) -> DataFrame:
+    """`session_key, user_message_id, reply_message_id` of the sound sessions of merged messages."""
     spark = messages.sparkSession
-    by = ["session_key", F.col("t").asc_nulls_first(), F.col("role") != "u", "id"]
+    by = ["session_key", F.col("t").asc_nulls_first(), F.coalesce(F.col("role") != "u", F.lit(True)), "id"]
+    ok = F.col("id").isNotNull() & F.col("role").isNotNull() & F.col("t").isNotNull() & F.col("seen")
     rows = messages.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
-    runs = stored(rows.select("session_key", "id", "role", "ok").mapInPandas(_runs, "session_key string, part int, kind string, first string, first_role string, last string, last_role string, ok boolean"), "runs")
+    runs = stored(rows.select("session_key", "id", "role", ok.alias("ok")).mapInPandas(_runs, "session_key string, part int, kind string, first string, first_role string, last string, last_role string, ok boolean"), "runs")
     ends = runs.where("kind = 'run'")
     turns = ends.where("first is not null")
     w = Window.partitionBy("session_key").orderBy("part")
@@ -202,10 +201,8 @@ def joined_runs(messages: DataFrame) -> DataFrame:
     return inside.unionByName(across).join(sound, "session_key", "left_semi")
 
 
-def conversations(spark: SparkSession, messages_path: str, sessions: DataFrame, hot: int = HOT) -> DataFrame:
+def conversations(spark: SparkSession, messages_path: str, sessions: DataFrame, files: int = FILES) -> DataFrame:
     """`session_id, user_message_id, reply_message_id`: the exchanges of all sound conversations of known sessions."""
-    emitted = replay(spark, messages_path, hot)
-    plain = emitted.where("kind = 'exchange'").select("session_key", F.col("id").alias("user_message_id"), F.col("other").alias("reply_message_id"))
-    found = plain.unionByName(joined_runs(emitted.where("kind = 'message'")))
+    found = replay(spark, messages_path, files).result()
     known = sessions.select(norm_id("id").alias("session_key"), "id").where("session_key is not null").groupBy("session_key").agg(F.min("id").alias("session_id"))
     return found.join(known, "session_key").select("session_id", "user_message_id", "reply_message_id").distinct()
