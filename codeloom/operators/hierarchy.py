@@ -1,10 +1,14 @@
 """Parent-child rows to full hierarchies.
 
-The table of ancestor pairs up to `STEP` levels apart is built once, by doubling. Frontiers start at the roots and are
-joined with it, so each round adds `STEP` levels of paths, depths and ancestors: trees of depth d take d / STEP rounds,
-each of which shuffles only its frontier (the pairs stay partitioned by ancestor). Nodes that no frontier reaches hang
-on a cycle: pointer doubling carries each of them 2^k parents up, and after more steps than there are nodes exactly the
-cycles' nodes are still pointed at; the smallest id is carried along.
+Frontiers start at the roots and are joined level by level with the children, which are kept partitioned by their
+parent, so a round shuffles its frontier alone; the children of a hot parent are spread over salts, and a frontier row,
+of which there is one a parent, is repeated for these. Most nodes lie within the first `LEVELS` levels. What is deeper
+are thin chains, for which a round a level would be dear: there ancestor pairs are doubled (a node's pair leads 2^k
+levels up after k rounds) until they end at the last frontier. Nodes whose pairs never do hang on a cycle: the nodes
+that pairs of theirs still lead to once their number falls no more are exactly the cycles', and the smallest id is
+carried along.
+
+Nodes are numbered once, so rounds shuffle numbers; names and ids are only carried where paths are asked for.
 
 Defined results: a null or blank id is no node; of several rows of an id the one with the latest updated_at counts (on a
 tie the latest created_at, then the greatest texts); a parent that is null, blank, unknown or of another group makes a
@@ -21,22 +25,24 @@ from pyspark.sql import functions as F
 from codeloom.functions.keys import norm_id
 from codeloom.operators.lineage import cut
 
-#: Levels a round adds; a power of two.
-STEP = 8
+#: Levels by frontiers before chains are shortened.
+LEVELS = 12
+#: Children of a parent above which they are spread over several keys.
+HOT = 1_000_000
 
 
 def latest_nodes(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", name_col: str = "name", group_col: str = "repo_name") -> DataFrame:
-    """One row `nid, id, name, grp, parent` per node; parent is a node of the same group, else null."""
+    """One row `num, nid, id, name, grp, up` per node; num is its number, up that of its parent, a node of the same group, else null."""
     version = F.struct(
         F.col("updated_at").alias("u"), F.col("created_at").alias("c"), F.col(id_col).alias("id"), F.col(name_col).alias("name"), F.col(group_col).alias("grp"), norm_id(parent_col).alias("parent")
     )
     one = rows.select(norm_id(id_col).alias("nid"), version.alias("v")).where("nid is not null").groupBy("nid").agg(F.max("v").alias("v"))
-    one = cut(one.select("nid", "v.id", "v.name", "v.grp", "v.parent"))
-    up = one.select(F.col("nid").alias("parent"), F.col("grp").alias("pgrp"))
-    return one.join(up, "parent", "left").select("nid", "id", "name", "grp", F.when(F.col("grp").eqNullSafe(F.col("pgrp")), F.col("parent")).alias("parent"))
+    one = cut(one.select(F.monotonically_increasing_id().alias("num"), "nid", "v.id", "v.name", "v.grp", "v.parent"))
+    above = one.select(F.col("nid").alias("parent"), F.col("grp").alias("pgrp"), F.col("num").alias("up"))
+    return one.join(above, "parent", "left").select("num", "nid", "id", "name", "grp", F.when(F.col("grp").eqNullSafe(F.col("pgrp")), F.col("up")).alias("up"))
 
 
-def hierarchy(nodes: DataFrame, paths: bool = True) -> DataFrame:
+def hierarchy(nodes: DataFrame, paths: bool = True, levels: int = LEVELS, hot: int = HOT) -> DataFrame:
     """`nid, id, root_id, depth, path, ancestors` of each node (of `latest_nodes`).
 
     path: the names from the root, with a slash before each; ancestors: the ids from the root to the parent; both only
@@ -45,50 +51,74 @@ def hierarchy(nodes: DataFrame, paths: bool = True) -> DataFrame:
     """
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes = cut(nodes)
-    # pairs: every node below `top` by 1..STEP levels; `names` and `ids` lead from below top to the node
+    name = F.coalesce("name", F.lit(""))
+    nodes = cut(nodes.select("num", "nid", "id", "up", *([name.alias("name")] if paths else [])))
+    # over how many salts the children of a node are spread; 0 if it has none
+    spread = nodes.where("up is not null").groupBy("up").agg(F.ceil(F.count("*") / F.lit(hot)).cast("int").alias("salts"))
+    nodes = cut(nodes.join(spread.withColumnRenamed("up", "num"), "num", "left").withColumn("salts", F.coalesce("salts", F.lit(0))))
+    salt = F.pmod(F.xxhash64("num"), F.col("over")).cast("int")
+    kids = nodes.where("up is not null").join(spread.withColumnRenamed("salts", "over"), "up").withColumn("salt", salt).drop("over")
+    kids = cut(kids.repartition(parts, "up", "salt"))
+    carried = ["path", "ancestors"] if paths else []
+    start = {"path": F.concat(F.lit("/"), F.col("name")), "ancestors": F.expr("cast(array() as array<string>)")} if paths else {}
+    front = cut(nodes.where("up is null").select("num", "nid", "id", "salts", F.col("id").alias("root_id"), F.lit(0).alias("depth"), *(start[c].alias(c) for c in carried)))
+    reached, empty = [front], False
+    for _ in range(levels):
+        above = front.where("salts > 0").select(F.col("num").alias("up"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("up_id"), "root_id", "depth", *carried)
+        longer = {"path": F.concat("path", F.lit("/"), F.col("name")), "ancestors": F.concat("ancestors", F.array("up_id"))} if paths else {}
+        front = cut(above.join(kids, ["up", "salt"]).select("num", "nid", "id", "salts", "root_id", (F.col("depth") + 1).alias("depth"), *(longer[c].alias(c) for c in carried)))
+        if empty := front.isEmpty():
+            break
+        reached.append(front)
+    done = reduce(DataFrame.unionByName, reached)
+    out = ["nid", "id", "root_id", "depth", *carried]
     lists = ["names", "ids"] if paths else []
-    trail = {"names": F.array(F.coalesce("name", F.lit(""))), "ids": F.array("id")}
-    pairs = cut(nodes.where("parent is not null").select(F.col("parent").alias("top"), "nid", "id", F.lit(1).alias("far"), *(trail[c].alias(c) for c in lists)))
-    span = 1
-    while span < STEP:
-        last = pairs.where(F.col("far") == span).select("top", F.col("nid").alias("mid"), *(F.col(c).alias(f"{c}0") for c in lists))
-        below = pairs.withColumnRenamed("top", "mid")
-        more = last.join(below, "mid").select("top", "nid", "id", (F.col("far") + span).alias("far"), *(F.concat(f"{c}0", c).alias(c) for c in lists))
-        pairs = cut(pairs.unionByName(more))
-        span *= 2
-    pairs = cut(pairs.repartition(parts, "top").sortWithinPartitions("top"))
-    start = {"path": F.concat(F.lit("/"), F.coalesce("name", F.lit(""))), "ancestors": F.expr("cast(array() as array<string>)")}
-    carried = list(start) if paths else []
-    levels = [cut(nodes.where("parent is null").select("nid", "id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), *(start[c].alias(c) for c in carried)))]
-    front = levels[0].withColumn("far", F.lit(STEP))
+    first = {"names": F.array("name"), "ids": F.array("id")} if paths else {}
+    none = {"names": F.expr("cast(array() as array<string>)"), "ids": F.expr("cast(array() as array<string>)")}
+    left = nodes.where("up is not null").join(done.select("num"), "num", "left_anti")
+    left = cut(left.select("num", "nid", "id", F.col("up").alias("to"), F.lit(1).alias("far"), F.col("id").alias("least"), F.lit(False).alias("ends"), *(first[c].alias(c) for c in lists)))
+    if left.isEmpty():
+        return done.select(*out)
+    ends = front.where("salts > 0") if not empty else front
+    stops = ends.select("num", "nid", "id", F.col("num").alias("to"), F.lit(0).alias("far"), F.lit(None).cast("string").alias("least"), F.lit(True).alias("ends"), *(none[c].alias(c) for c in lists))
+    found = [stops]
+    # pairs of nodes above each other, twice as far apart every round, until none reaches the last frontier any more
+    while not empty:
+        upper = reduce(DataFrame.unionByName, found).unionByName(left).select(F.col("num").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.col("least").alias("least2"), F.col("ends").alias("ends2"), *(F.col(c).alias(f"{c}2") for c in lists))
+        left = cut(left.join(upper, "to").select("num", "nid", "id", F.col("to2").alias("to"), (F.col("far") + F.col("far2")).alias("far"), F.least("least", "least2").alias("least"), F.col("ends2").alias("ends"), *(F.concat(f"{c}2", c).alias(c) for c in lists)))
+        hit = left.where("ends")
+        left = left.where("not ends")
+        if hit.isEmpty():
+            break
+        found.append(hit)
+    if len(found) > 1:
+        top = ends.select(F.col("num").alias("to"), "root_id", "depth", *carried, F.col("id").alias("top_id"))
+        deep = reduce(DataFrame.unionByName, found[1:]).join(top, "to")
+        longer = {"path": F.concat("path", F.lit("/"), F.array_join("names", "/")), "ancestors": F.concat("ancestors", F.array("top_id"), F.slice("ids", 1, F.size("ids") - 1))} if paths else {}
+        done = done.select(*out).unionByName(deep.select("nid", "id", "root_id", (F.col("depth") + F.col("far")).alias("depth"), *(longer[c].alias(c) for c in carried)))
+    if left.isEmpty():
+        return done.select(*out)
+    wrong = _circular(left.select("num", "nid", "id", "to", "least"))
+    return done.select(*out).unionByName(wrong.select("nid", "id", "root_id", "depth", *(F.lit(None).cast(t).alias(c) for c, t in (("path", "string"), ("ancestors", "array<string>")) if paths)))
+
+
+def _circular(pairs: DataFrame) -> DataFrame:
+    """`nid, id, root_id, depth` of nodes that hang on cycles, from pairs `num, nid, id, to, least` that lead equally far up.
+
+    least is the smallest id below `to` on the way. Once a doubling leaves the number of nodes led to and all `least`s as
+    they were, the nodes led to are the cycles' and `least` is the smallest of a whole cycle.
+    """
+    state = None
     while True:
-        above = front.where(F.col("far") == STEP).select(F.col("nid").alias("top"), F.col("id").alias("top_id"), "root_id", "depth", *carried)
-        longer = {
-            "path": F.concat("path", F.lit("/"), F.array_join("names", "/")) if paths else None,
-            "ancestors": F.concat("ancestors", F.array("top_id"), F.slice("ids", 1, F.size("ids") - 1)) if paths else None,
-        }
-        front = cut(above.join(pairs, "top").select("nid", "id", "root_id", (F.col("depth") + F.col("far")).alias("depth"), *(longer[c].alias(c) for c in carried), "far"))
-        if front.isEmpty():
+        now = pairs.agg(F.count_distinct("to"), F.count(F.when(F.col("changed"), 1))).first() if state else (-1, -1)
+        if state and now[0] == state[0] and now[1] == 0:
             break
-        levels.append(front.drop("far"))
-    reached = reduce(DataFrame.unionByName, levels)
-    lost = cut(nodes.join(reached.select("nid"), "nid", "left_anti").select("nid", "id", "parent"))
-    n = lost.count()
-    if not n:
-        return reached
-    jump = lost.select("nid", F.col("parent").alias("to"), F.col("id").alias("least"))
-    for _ in range(n.bit_length() + 1):
-        far = jump.select(F.col("nid").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
-        jump = cut(jump.join(far, "to").select("nid", F.col("to2").alias("to"), F.least("least", "least2").alias("least")))
-    on_cycle = jump.select(F.col("to").alias("nid")).distinct()
-    roots = jump.join(on_cycle, "nid").select(F.col("nid").alias("to"), F.col("least").alias("root_id"))
-    none = [F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<string>").alias("ancestors")] if paths else []
-    wrong = (
-        jump.join(roots, "to").join(on_cycle.withColumn("on", F.lit(True)), "nid", "left").join(lost.select("nid", "id"), "nid")
-        .select("nid", "id", "root_id", F.when(F.col("on"), -1).otherwise(-2).alias("depth"), *none)
-    )
-    return reached.unionByName(wrong)
+        state = now
+        upper = pairs.select(F.col("num").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
+        pairs = cut(pairs.join(upper, "to").select("num", "nid", "id", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("changed")))
+    on = pairs.select(F.col("to").alias("num")).distinct().withColumn("on", F.lit(True))
+    roots = pairs.join(on, "num").select(F.col("num").alias("to"), F.col("least").alias("root_id"))
+    return pairs.join(on, "num", "left").join(roots, "to").select("nid", "id", "root_id", F.when(F.col("on"), -1).otherwise(-2).alias("depth"))
 
 
 def descendants(tree: DataFrame) -> DataFrame:

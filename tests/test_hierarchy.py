@@ -61,5 +61,23 @@ def test_random_forests_against_walking_up(spark, seed):
     ids = [f"k{i:03d}" for i in range(60)]
     parents = {x: rnd.choice([None, *ids, *ids[: i + 1], "missing"]) if rnd.random() < 0.9 else None for i, x in enumerate(ids)}
     parents |= {f"z{i}": f"z{i - 1}" if i else None for i in range(30)}  # deeper than a round
-    t = hierarchy(nodes(spark, [(i, p, 1) for i, p in parents.items()]))
-    assert {r["id"]: (r["root_id"], r["depth"]) for r in t.collect()} == brute(parents)
+    given = nodes(spark, [(i, p, 1) for i, p in parents.items()])
+    # few levels and salted parents, only levels, only pairs
+    for levels, hot in ((3, 2), (40, 100), (0, 1)):
+        t = hierarchy(given, levels=levels, hot=hot).collect()
+        assert {r["id"]: (r["root_id"], r["depth"]) for r in t} == brute(parents)
+        for r in t:
+            if r["depth"] >= 0:
+                line = [r["id"]]
+                while parents.get(line[0]) in parents:
+                    line.insert(0, parents[line[0]])
+                assert (r["path"], r["ancestors"]) == ("".join(f"/n{i}" for i in line), line[:-1])
+    flat = hierarchy(given, paths=False, levels=3, hot=2).collect()
+    assert {r["id"]: (r["root_id"], r["depth"]) for r in flat} == brute(parents)
+
+
+def test_long_cycles_with_long_tails(spark):
+    ring = {f"r{i:03d}": f"r{(i + 1) % 50:03d}" for i in range(50)}
+    tail = {f"t{i:03d}": f"t{i - 1:03d}" if i else "r007" for i in range(70)}
+    t = hierarchy(nodes(spark, [(i, p, 1) for i, p in (ring | tail | {"root": None, "leaf": "root"}).items()]), levels=2).collect()
+    assert {r["id"]: (r["root_id"], r["depth"]) for r in t} == brute(ring | tail | {"root": None, "leaf": "root"})
