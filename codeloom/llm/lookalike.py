@@ -9,8 +9,8 @@ full-width and half-width forms, ligatures and other compatibility forms, compos
 single spaces, hyphens, and default-ignorable characters, which are dropped (a joiner between two pictographs stays).
 Raised and lowered digits, circled and styled letters differ to the eye and stay.
 
-Look-alikes come from the confusables data of the ICU library that Spark ships: letters with case of another script
-whose skeleton is that of an ASCII letter of the same case, letters of two such scripts that share any other skeleton
+Look-alikes come from the confusables data of the ICU library that Spark ships: letters of another alphabet
+whose skeleton is that of an ASCII letter of the same case (or, without case, of a letter in one case only), letters with case of two other scripts that share any other skeleton
 (Cyrillic and Greek `п` and `π`; they become the one of the least code point until the token's script is known), and
 marks of another script with the skeleton of an ASCII mark. The table is built on the driver and sent with the task.
 
@@ -37,9 +37,10 @@ _DIFFERENT = {"\u017f", "\u1e9b"}
 #: Hyphens of the width of the ASCII one.
 _HYPHENS = "\u2010\u2011\u2043\ufe63\uff0d"
 
-_SCRIPT = regex.compile(r"\p{Latin}|(?P<Greek>\p{Greek})|(?P<Cyrillic>\p{Cyrillic})|(?P<Armenian>\p{Armenian})|(?P<Coptic>\p{Coptic})|(?P<Cherokee>\p{Cherokee})")
 #: The scripts that come first where several can spell a token.
-_ORDER = {"Cyrillic": 0, "Greek": 1}
+_ORDER = {"CYRILLIC": 0, "GREEK": 1}
+#: Letters that have look-alikes in no alphabet, only among themselves.
+_NO_ALPHABET = r"\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}\p{Bopomofo}"
 _PICTURE_JOINER = regex.compile(r"(?<=\p{Extended_Pictographic}[\ufe0f\U0001f3fb-\U0001f3ff]?)\u200d(?=\p{Extended_Pictographic})")
 _KEPT_JOINER = "\ufdd0"  # stands for such a joiner meanwhile
 _IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}|[\x00-\x08\x0e-\x1f\x7f]")
@@ -49,17 +50,17 @@ _SEPARATOR = "\ue000"
 _FORMS = [*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE1000)]
 
 
-def script_of(ch: str) -> str | None:
-    """The name of a script with case other than Latin, `Latin`, or None."""
-    m = _SCRIPT.match(ch)
-    return m and (m.lastgroup or "Latin")
+@lru_cache(1 << 16)
+def script_of(ch: str) -> str:
+    """The script of a letter, by the first word of its name."""
+    return unicodedata.name(ch, "?").split()[0]
 
 
 def lookalikes(spark: SparkSession) -> dict[str, str]:
     """Character of another script -> ASCII character of the same look and case, from ICU's confusables, else the least letter of the other scripts that share it."""
     icu = spark._jvm.com.ibm.icu.text
     checker = getattr(icu, "SpoofChecker$Builder")().build()
-    chars = [chr(i) for i in range(0x21, 0x20000) if not 0xD800 <= i < 0xF900 and unicodedata.category(chr(i))[0] in "LPS" and (i < 0x7F or not regex.match(r"\p{Common}|\p{Inherited}|\p{Latin}|\p{Han}|\p{Hangul}", chr(i)))]
+    chars = [chr(i) for i in range(0x21, 0x20000) if not 0xD800 <= i < 0xF900 and unicodedata.category(chr(i))[0] in "LPS" and (i < 0x7F or not regex.match(rf"[\p{{Common}}\p{{Inherited}}\p{{Latin}}{_NO_ALPHABET}]", chr(i)))]
     skeletons = checker.getSkeleton(_SEPARATOR.join(chars)).split(_SEPARATOR)
     if len(skeletons) != len(chars):
         raise RuntimeError("the confusables data can't be read")
@@ -69,6 +70,10 @@ def lookalikes(spark: SparkSession) -> dict[str, str]:
     for c, s in zip(chars, skeletons, strict=True):
         if c > "\x7f" and kind(c) in ("Lu", "Ll", "P", "S") and (to := ascii_of.get((s, kind(c)))):
             found[c] = to
+        elif unicodedata.category(c) == "Lo":  # of a script without case: like one that looks so in either case, if it is clear in which
+            cases = [ascii_of[s, k] for k in ("Lu", "Ll") if (s, k) in ascii_of]
+            if len(cases) == 1 or cases and script_of(c) == "LISU":  # whose letters are shaped like capitals
+                found[c] = cases[0]
     groups: dict[tuple[str, str], list[str]] = {}
     for c, s in zip(chars, skeletons, strict=True):
         if kind(c) in ("Lu", "Ll") and script_of(c) and (s, kind(c)) not in ascii_of and unicodedata.is_normalized("NFD", c):
@@ -103,13 +108,13 @@ class Normalizer:
         self.fold = fold
         self.respell: dict[str, dict[str, str]] = {}
         for ch, to in sorted(table.items(), reverse=True):
-            if (s := script_of(ch)) and s != "Latin":
+            if (s := script_of(ch)) != "LATIN" and ch.isalpha():
                 self.respell.setdefault(s, {})[to] = ch
-        self.scripts = {c: frozenset({"Latin"} | {s for s, m in self.respell.items() if c in m}) for c in map(chr, range(0x41, 0x7B)) if c.isalpha()}
+        self.scripts = {c: frozenset({"LATIN"} | {s for s, m in self.respell.items() if c in m}) for c in map(chr, range(0x41, 0x7B)) if c.isalpha()}
         self.scripts |= {c: frozenset(s for s, m in self.respell.items() if c in m) for c in set(table.values()) if not c.isascii()}
-        cased = r"\p{Greek}\p{Cyrillic}\p{Armenian}\p{Coptic}\p{Cherokee}"
+        other = rf"[\p{{L}}--[\p{{Latin}}\p{{Common}}{_NO_ALPHABET}]]"
         # from a word's start and without going back, so that words of any length take time in proportion
-        self.other = regex.compile(rf"(?V1)(?<![\p{{L}}\p{{M}}])[[\p{{L}}\p{{M}}]--[{cased}]]*+[{cased}][\p{{L}}\p{{M}}]*+")
+        self.other = regex.compile(rf"(?V1)(?<![\p{{L}}\p{{M}}])[[\p{{L}}\p{{M}}]--{other}]*+{other}[\p{{L}}\p{{M}}]*+")
 
     def token(self, word: str) -> str:
         """A folded token, spelled in the one script that has all its letters."""
@@ -117,9 +122,9 @@ class Normalizer:
         parts = unicodedata.normalize("NFD", word)
         for ch in parts:
             if ch.isalpha():
-                own = self.scripts.get(ch) or frozenset({script_of(ch) or unicodedata.name(ch, "?").split()[0]})
+                own = self.scripts.get(ch) or frozenset({script_of(ch)})
                 common = own if common is None else common & own
-        if not common or "Latin" in common:
+        if not common or "LATIN" in common:
             return word
         return unicodedata.normalize("NFC", parts.translate(str.maketrans(self.respell.get(min(common, key=lambda s: (_ORDER.get(s, 9), s)), {}))))
 

@@ -17,7 +17,7 @@ def docs(spark, texts):
 
 SAME = [
     ("abc", "\uff41\uff42\uff43"), ("caf\u00e9", "cafe\u0301"), ("a b", "a\u00a0b"), ("a b", "a\u202fb"), ("a b", "a\u2007b"), ("ab", "a\u200bb"), ("ab", "a\u00adb"), ("ab", "\ufeffab"), ("a-b", "a\u2011b"), ("fix flow off", "\ufb01x \ufb02ow o\ufb00"),
-    ("scope", "s\u0441op\u0435"), ("HOT", "\u041d\u039f\u0422"), ("\u0440\u0430\u0431\u043e\u0442\u0430", "\u0440a\u0431o\u0442a"), ("a;", "a\u037e"), ("10K", "10\u212a"), ("\u043a\u0438\u0439", "\u043a\u0438\u0438\u0306"), ("\u00b5m", "\u03bcm"), ("\u0451", "\u00eb"),
+    ("scope", "s\u0441op\u0435"), ("HOT", "\u041d\u039f\u0422"), ("\u0440\u0430\u0431\u043e\u0442\u0430", "\u0440a\u0431o\u0442a"), ("a;", "a\u037e"), ("10K", "10\u212a"), ("\u043a\u0438\u0439", "\u043a\u0438\u0438\u0306"), ("\u00b5m", "\u03bcm"), ("\u0451", "\u00eb"), ("BPD", "\ua4d0\ua4d1\ua4d3"), ("KEY", "\ua4d7\ua4f0\ua4ec"),
 ]
 OTHER = [("cafe", "caf\u00e9"), ("a", "A"), ("x2", "x\u00b2"), ("1", "l"), ("O", "0"), ("ab", "a b"), ("a  b", "a b"), ("rn", "m"), ("it's", "it\u2019s"), ("\u30c8", "\u30c9"), ("s", "\u017f"), ("\U0001f468\u200d\U0001f469", "\U0001f468\U0001f469")]
 
