@@ -2,9 +2,10 @@
 
 Per file, layout statistics of the whole text (longest and mean line, shares of white space, word characters and
 literals, density of numeric literals, the longest encoded run) are held against thresholds of its language. They find
-minified code and bulk data; generated and foreign files are known by their folder, their name, or a declaration in the
-comment that opens or closes the file (a mention in a doc string or in between is none), or, without any of these, by
-lines that repeat a few shapes throughout. Files with the code of a third-party
+minified code, bulk data and, by lines that repeat a few shapes throughout, generated code, the latter more easily in a
+folder of generated code. Generated files are known besides by a name that tools give or by a declaration in the comment
+that opens or closes the file (a mention in a doc string or in between is none), foreign ones by their folder or such a
+declaration. Files with the code of a third-party
 file, line ends and a leading byte-order mark aside, are found by joining 128-bit hashes of the code.
 
 Defined results: null, empty and blank code is hand-written (nothing to tell it by); a null path or language is unknown,
@@ -67,6 +68,9 @@ class Limits:
     #: Generated without saying so: the share of lines of three shapes, of so many lines at least.
     repeated: float = 0.9
     repeated_lines: int = 25
+    #: The same in a folder of generated code, which alone says nothing of a file.
+    repeated_there: float = 0.75
+    lines_there: int = 5
 
 
 #: Languages whose lines run longer or shorter by habit; JSON holds nothing but literals, so only numbers make it data.
@@ -210,7 +214,7 @@ def kind_of(path: str | None, language: str | None, code: str | None) -> str | N
     marks = [*head, *closing(text)]
     if folders & FOREIGN_FOLDERS or any(FOREIGN_MARK.search(x) for x in head):
         return "third-party"
-    if folders & GENERATED_FOLDERS or GENERATED_NAME.search(name) or any(GENERATED_MARK.search(x) for x in marks):
+    if GENERATED_NAME.search(name) or any(GENERATED_MARK.search(x) for x in marks):
         return "generated"
     lang = language_of(path, language)
     if lang == "java" and GENERATED_ANNOTATION.search(text):
@@ -226,7 +230,8 @@ def kind_of(path: str | None, language: str | None, code: str | None) -> str | N
     if s.long_share >= limits.long_share and s.spaces <= limits.spaces and s.mean >= limits.mean_line and s.alnum > 0.3:
         return "minified"
     same, n = repetition(text)
-    return "generated" if same >= limits.repeated and n >= limits.repeated_lines else None
+    share, least = (limits.repeated_there, limits.lines_there) if folders & GENERATED_FOLDERS else (limits.repeated, limits.repeated_lines)
+    return "generated" if same >= share and n >= least else None
 
 
 def file_kinds(files: DataFrame) -> DataFrame:

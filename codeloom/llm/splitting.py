@@ -31,6 +31,10 @@ _CLOSES = regex.compile(r"\s*(?:[)\]}]|else\b|elif\b|except\b|finally\b|catch\b|
 _GOES_ON = regex.compile(r"(?:[,(\[{\\:=+\-*/&|.<?]|=>|\b(?:return|and|or|not|in|is))\s*$")
 
 
+#: Ranges of a file that are cut together, about.
+TOGETHER = 1000
+
+
 def penalties(lines: list[str]) -> np.ndarray:
     """Of each place between two lines (1 .. n - 1), how unnatural a cut there is."""
     n = len(lines)
@@ -120,9 +124,13 @@ def oversized(tasks: DataFrame, files: DataFrame, limit: int = LIMIT) -> DataFra
     wide = latest_tasks(tasks).where(f"start_line >= 1 and end_line >= start_line and end_line - start_line + 1 > {limit}")
     chosen = files.groupBy("repo_name", "file_path").agg(F.max(F.struct(F.col("code").isNotNull().alias("has"), "last_modified", "file_id")).alias("v"))
     needed = wide.join(chosen, ["repo_name", "file_path"]).select("qualified_name", "start_line", "end_line", F.col("v.file_id").alias("file_id"))
+    # the ranges of a file come together first, some at a time, so that its lines are parted once for all of them
+    groups = needed.groupBy("file_id").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).alias("groups"))
+    ranges = needed.join(groups, "file_id").groupBy("file_id", F.pmod(F.xxhash64("qualified_name"), "groups").alias("group")).agg(F.collect_list(F.struct("qualified_name", "start_line", "end_line")).alias("ranges"))
     code = files.where("code is not null").select("file_id", "code").dropDuplicates(["file_id"])
-    lines = needed.join(code, "file_id").withColumn("all", F.expr(code_lines("code"))).where(f"least(end_line, size(all)) - start_line + 1 > {limit}")
-    return lines.select("qualified_name", "start_line", F.slice("all", F.col("start_line"), F.least("end_line", F.size("all")) - F.col("start_line") + 1).alias("lines"))
+    lines = ranges.join(code, "file_id").select("ranges", F.expr(code_lines("code")).alias("all"))
+    each = lines.select("all", F.explode("ranges").alias("r")).where(f"least(r.end_line, size(all)) - r.start_line + 1 > {limit}")
+    return each.select("r.qualified_name", "r.start_line", F.slice("all", F.col("r.start_line"), F.least("r.end_line", F.size("all")) - F.col("r.start_line") + 1).alias("lines"))
 
 
 def pieces(ranges: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

@@ -11,7 +11,7 @@ SCHEMA = "file_id bigint, file_path string, language string, code string, kind s
 @pytest.mark.parametrize(
     ("path", "code", "kind"),
     [
-        ("src/a.py", HAND, None), ("src/vendor/x/a.py", HAND, "third-party"), ("src/vendoring/a.py", HAND, None), ("vendor_api/generated_check.py", HAND, None), ("web/node_modules/x/i.js", "f()", "third-party"), ("src/generated/a.py", HAND, "generated"), ("src/generator/a.py", HAND, None), ("a_pb2.py", HAND, "generated"), ("x.min.js", "a()", "minified"),
+        ("src/a.py", HAND, None), ("src/vendor/x/a.py", HAND, "third-party"), ("src/vendoring/a.py", HAND, None), ("vendor_api/generated_check.py", HAND, None), ("web/node_modules/x/i.js", "f()", "third-party"), ("src/generated/a.py", HAND, None), ("src/generator/a.py", HAND, None), ("a_pb2.py", HAND, "generated"), ("x.min.js", "a()", "minified"),
         ("a.py", "# Code generated by tool. DO NOT EDIT.\n" + HAND, "generated"), ("a.py", '"""Generated bindings are read from disk; do not edit them by hand."""\n' + HAND, None), ("a.py", "#!/usr/bin/env python\n# Copyright (c) 2025 the authors.\n#\n# THIS IS AN AUTOMATICALLY GENERATED FILE (x).\n" + HAND, "generated"), ("a.java", '@Generated("x")\npublic class A {}', "generated"),
         ("a.py", HAND + "\n# @generated by tool v1.2\n", "generated"), ("a.py", "# fen 5.1\n# Upstream: the fen project, BSD.\n" + HAND, "third-party"), ("a.js", "/*! fen v1.2.3 | (c) the fen contributors | MIT licence */\nf();\n", "third-party"), ("a.py", "# Copyright (c) 2025 the lumen authors. See the licence file.\n" + HAND, None),
         ("a.js", "!function(e,t){var n=e.a(t);" + "".join(f"if(n){{t=e.q{i}(n)}}" for i in range(200)) + "}(this,0);\n", "minified"), ("a.py", "TEXT = '" + "word " * 150 + "'\n" + HAND, None),
@@ -45,3 +45,10 @@ def test_comments_that_open_and_close_are_read_whole():
     assert kind_of("a.js", None, "/*\n" + " * Terms.\n\n" * 100 + " * Code generated by tool. DO NOT EDIT.\n */\nf();\n") == "generated"
     assert kind_of("a.py", None, HAND + "\n# @generated by tool v1.2\n" + licence) == "generated"
     assert kind_of("a.py", None, licence + HAND + "# Upstream: the fen project, BSD.\n" + HAND + licence) is None
+
+
+def test_a_folder_alone_makes_no_file_generated():
+    by_hand = 'class Model:\n    """What is stored of a record, and how it is read."""\n\n    def load(self, path):\n        """Read the record at a path."""\n        with open(path) as f:\n            return [line.split() for line in f if line.strip()]\n'
+    assert kind_of("src/gen/model.py", "python", by_hand) is None
+    assert kind_of("src/gen/model.py", "python", "".join(f'FIELD_{i} = "v{i}"\n' for i in range(20)) + "\ndef f():\n    return 1\n") == "generated"
+    assert kind_of("src/gen/model.py", "python", "# Code generated by x. DO NOT EDIT.\n" + by_hand) == "generated"
