@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,16 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or, where it is unset (tests), one of our own."""
+    """The folder all executors share, `spark.checkpoint.dir`. Where it is unset a local master gets one of its own, gone with the process; a cluster is an error."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="codeloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/codeloom/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application wrote into the shared folder; DataFrames that read it are void after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and read again from the shared checkpoint folder; keeps its partitioning."""
     shared_dir(df.sparkSession)
@@ -27,6 +43,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """`df`, written once as a parquet table in the shared folder: smaller than `cut` for wide rows."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

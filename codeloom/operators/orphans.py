@@ -146,10 +146,10 @@ def find_orphans(references: list[Reference], parents: list[Parent], deletions:
     # the upper 31 bits of the hash, cut into equal ranges
     in_range = lambda c: F.floor((F.shiftrightunsigned(F.col(c), 33)) * F.lit(ranges) / F.lit(1 << 31)).cast("int")
     refs = refs.withColumn("rng", in_range("h"))
-    # one row a range, of which there are about as many as tasks
+    # one row a range; whether it is broadcast is left to the planner
     load = refs.groupBy("rng").count().select("rng", F.ceil(F.col("count") / F.lit(RANGE_ROWS)).cast("int").alias("salts"))
-    refs = refs.join(F.broadcast(load), "rng").withColumn("salt", F.pmod(F.xxhash64("ref_table", "repo_name", "row_key", "own_us"), F.col("salts")).cast("int"))
-    known = known.withColumn("rng", in_range("rk")).join(F.broadcast(load), "rng")
+    refs = refs.join(load, "rng").withColumn("salt", F.pmod(F.xxhash64("ref_table", "repo_name", "row_key", "own_us"), F.col("salts")).cast("int"))
+    known = known.withColumn("rng", in_range("rk")).join(load, "rng")
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     cols = ["ref_table", "repo_name", "row_key", "k", "ks", "h", "hs", "own_us"]
     found = (

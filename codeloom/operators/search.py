@@ -14,33 +14,45 @@ from codeloom.operators.graph import CODE_LABELS, Graph
 STOP_WORDS = frozenset("the a an in on at for to of".split())
 #: Nodes of an answer at most.
 CAP = 50
-_NAME = re.compile(r"[A-Za-z_]\w*", re.ASCII)
+#: The kinds of signs in a query.
+_SIGNS = re.compile(r"(?P<anything>\.\*)|(?P<star>\*)|(?P<both>&)|(?P<either>\|)|(?P<round>[()])|(?P<special>[+?^$\[\]\\])|(?P<gap>\s+)|(?P<dot>\.)|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?![^\s*&|()+?^$\[\]\\.]))|(?P<other>.)")
+
+
+def _terms(signs: list[tuple[str, str]], at: str) -> list[str]:
+    """What lies between the signs of a kind, without blank pieces."""
+    out = [""]
+    for kind, text in signs:
+        if kind == at:
+            out.append("")
+        else:
+            out[-1] += text
+    return [t.strip() for t in out if t.strip()]
 
 
 def strategy_of(query: str) -> tuple[str, str]:
     """How a query is meant (`and`, `pattern`, `regex`, `exact`), and its normal form.
 
-    In this order: terms joined by & are all wanted; plain terms joined by | are alternatives; a lone * stands for any
-    text; several words are all wanted, but for stop words; characters of regular expressions make one; three or more
-    names joined by dots are a full name; all else is a part of a name.
+    A query is a row of signs, and the kinds that occur in it decide: conjunction before alternatives of plain terms,
+    these before a star that stands for any text, then several words (all wanted, but for stop words), then any other
+    sign of regular expressions, then a full name of three dotted parts or more; all else is a part of a name.
     """
-    q = query.strip()
-    pieces = lambda sep: [t for t in (x.strip() for x in q.split(sep)) if t]
-    plain_start = not q.startswith(".*")
-    if plain_start and "&" in q and len(terms := pieces("&")) > 1:
-        return "and", "&".join(terms)
-    if plain_start and "|" in q and not set(q) & set("*+?^$[]\\()") and len(terms := pieces("|")) > 1:
-        return "pattern", "|".join(terms)
-    if "*" in q and ".*" not in q and not set(q) & set("?[]^$\\&|+"):
-        return "regex", q.replace("*", ".*")
-    if len(words := q.split()) > 1 and (kept := [w for w in words if w.lower() not in STOP_WORDS]):
-        return "and", "&".join(kept)
-    if set(q) & set("*+?^$|[]\\()"):
-        return "regex", q
-    names = q.split(".")
-    if len(names) >= 3 and all(_NAME.fullmatch(x) for x in names if x):
-        return "exact", q
-    return "pattern", q
+    signs = [(m.lastgroup, m[0]) for m in _SIGNS.finditer(query.strip())]
+    kinds = {kind for kind, _ in signs}
+    whole = "".join(text for _, text in signs)
+    is_regex = bool(kinds & {"anything", "star", "either", "round", "special"})
+    if signs and signs[0][0] != "anything":
+        for how, joint, sign in (("and", "both", "&"), ("pattern", "either", "|")):
+            if joint in kinds and (how == "and" or kinds.isdisjoint({"anything", "star", "round", "special"})) and len(terms := _terms(signs, joint)) > 1:
+                return how, sign.join(terms)
+    if "star" in kinds and kinds.isdisjoint({"anything", "special", "both", "either"}):
+        return "regex", "".join(".*" if kind == "star" else text for kind, text in signs)
+    words = [w for w in _terms(signs, "gap") if w.lower() not in STOP_WORDS]
+    if "gap" in kinds and words:
+        return "and", "&".join(words)
+    if is_regex:
+        return "regex", whole
+    dots = sum(kind == "dot" for kind, _ in signs)
+    return ("exact" if dots >= 2 and kinds <= {"name", "dot"} else "pattern"), whole
 
 
 def matches(column: str, query: str, strategy: str, case: bool = False) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.diff import last_change
-from codeloom.operators.lineage import shared_dir
+from codeloom.operators.lineage import own_dir
 
 _STATE = "path string, action string, at timestamp_ntz, seq bigint"
 
@@ -26,7 +26,7 @@ def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
 
 def run(spark: SparkSession, changes: DataFrame) -> DataFrame:
     """Runs a stream of changes until its end; the final state, deletions included as rows of action `delete`."""
-    base = f"{shared_dir(spark).rstrip('/')}/codeloom/state-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/state-{uuid.uuid4().hex}"
     empty = spark.createDataFrame([], _STATE)
 
     def version(batch: int) -> DataFrame:
