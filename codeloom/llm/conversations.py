@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import norm_id, trimmed
-from codeloom.operators.lineage import shared_dir, stored
+from codeloom.operators.lineage import own_dir, stored
 
 #: A period of arrival that is closed as a whole; how far files may be out of order.
 PERIOD, DELAY = "1 hour", "10 minutes"
@@ -114,7 +114,7 @@ class Store:
 
 def replay(spark: SparkSession, path: str, files: int = FILES, delay: str = DELAY) -> Store:
     """Runs the stream over all files at a path, in micro-batches of so many files, until its end."""
-    store = Store(spark, f"{shared_dir(spark).rstrip('/')}/codeloom/talk-{uuid.uuid4().hex}")
+    store = Store(spark, f"{own_dir(spark)}/talk-{uuid.uuid4().hex}")
     schema = spark.read.parquet(path).schema
     # as a pattern, since the stream's source takes a single file only so
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
