@@ -102,6 +102,22 @@ def delete_prefix(graph: Graph, prefix: str) -> Graph:
     return Graph(graph.nodes.where(~gone("qn")), graph.edges.where(~gone("src") & ~gone("dst")))
 
 
+def delete_files(graph: Graph, path: str, suffix: bool = False) -> Graph:
+    """Without the files of this path (or whose path ends so, at a folder's name), all they define, and the edges of either."""
+    hit = (F.col("path") == path) | (F.col("path").endswith("/" + path) if suffix else F.lit(False))
+    files = graph.label("File").where(hit).select("qn")
+    own = graph.rel("DEFINES").join(files.withColumnRenamed("qn", "src"), "src", "left_semi").select(F.col("dst").alias("qn"))
+    members = graph.rel("DEFINES_METHOD").join(own.withColumnRenamed("qn", "src"), "src", "left_semi").select(F.col("dst").alias("qn"))
+    gone = files.unionByName(own).unionByName(members).distinct()
+    edges = graph.edges.join(gone.withColumnRenamed("qn", "src"), "src", "left_anti").join(gone.withColumnRenamed("qn", "dst"), "dst", "left_anti")
+    return Graph(graph.nodes.join(gone, "qn", "left_anti"), edges)
+
+
+def delete_all(graph: Graph) -> Graph:
+    """Nothing, with the same columns."""
+    return Graph(graph.nodes.where(F.lit(False)), graph.edges.where(F.lit(False)))
+
+
 def delete_project(graph: Graph, project: str) -> Graph:
     """Without a project's nodes and edges, and without the external packages that no other project depends on."""
     gone = graph.nodes.where(F.col("project") == project).select("qn")

@@ -104,13 +104,6 @@ _query(
     "import_to_module", f"with {_JS}, m as (select distinct repo_name, file_path, regexp_extract(file_path, '^(.*/)?[^/]*$', 1) || regexp_replace(target, '^\\./', '') as module from i) select distinct m.repo_name, m.file_path, c.file_path target from m join code_files c on c.repo_name = m.repo_name and regexp_replace(c.file_path, '\\.[^./]*$', '') = m.module",
     lambda t: _js_imports(t).join(t("code_files").select("repo_name", F.col("file_path").alias("target"), F.regexp_replace("file_path", r"\.[^./]*$", "").alias("module")).distinct(), ["repo_name", "module"]).select("repo_name", "file_path", "target"),
 )
-_query(
-    "dependents", f"with {_JS}, m as (select distinct repo_name, file_path, repo_name || ':' || regexp_extract(file_path, '^(.*/)?[^/]*$', 1) || regexp_replace(target, '^\\./', '') as module from i), c as (select distinct repo_name || ':' || regexp_replace(file_path, '\\.[^./]*$', '') qn from code_files where last_modified >= timestamp '{_T}') select distinct repo_name || ':' || regexp_replace(file_path, '\\.[^./]*$', '') qn from m where module in (from c) and repo_name || ':' || regexp_replace(file_path, '\\.[^./]*$', '') not in (from c)",
-    lambda t: D.dependents(
-        _js_imports(t).select(F.concat_ws(":", "repo_name", F.regexp_replace("file_path", r"\.[^./]*$", "")).alias("src"), F.concat_ws(":", "repo_name", "module").alias("dst")),
-        t("code_files").where(f"last_modified >= timestamp_ntz'{_T}'").select(F.concat_ws(":", "repo_name", F.regexp_replace("file_path", r"\.[^./]*$", "")).alias("qn")).distinct(),
-    ),
-)
 _query(
     "resolve_nearest", f"""with d as (select distinct repo_name, qualified_name qn, regexp_extract(qualified_name, '[^.]*$') as name from {_LATEST} where lower(trim(element_type)) in ('function', 'method')),
     e as (select a.qn asked, b.qn found, string_split(a.qn, '.') a, string_split(b.qn, '.') b from d a join d b on a.name = b.name and a.repo_name = b.repo_name and a.qn <> b.qn)
@@ -141,8 +134,6 @@ def _python(t: Callable[[str], DataFrame]) -> DataFrame:
 _query("extract_definitions", None, lambda t: _python(t).where("kind = 'def'").select("qn", "label", "start_line", "end_line", "docstring", F.array_join("decorators", ",").alias("decorators"), "digest"))
 _query("extract_variables", None, lambda t: _python(t).where("kind = 'var'").select("qn", "start_line", "end_line", "digest"))
 _query("python_imports", None, lambda t: outside_standard(_python(t).where("kind = 'import'")).select("module", "name", "target").distinct())
-_query("resolve_calls", None, lambda t: resolve_calls(cut(_python(t))).groupBy("way").agg(F.count("*").alias("n")))
-_query("build_calls", None, lambda t: call_edges(resolve_calls(cut(_python(t)))).select("src", "dst"))
 #: A small package: re-exports, inheritance, typed variables, nested functions.
 _REPO = [
     ("app/__init__.py", "from .core import Engine\nfrom .tools import *\n"),

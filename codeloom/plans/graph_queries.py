@@ -26,6 +26,7 @@ def _query(name: str, sql: str | None, f: Callable[[Graph], DataFrame], recursiv
 
 
 _LIST = ["part.p1", "tpch.part.p7", "TPCH.part.p9", "AFRICA", "nowhere"]
+_WANTED = "'tpch.part.p1', 'tpch.part.p7', 'TPCH.part.p9', 'tpch.AFRICA', 'tpch.nowhere'"
 _REQUESTS = ["tpch.part.p5", "part.p6.py", "AFRICA.NATION_0.c20.o1", "p8", "tensor.ring", "red.o1", "Small Ring", "widg", "o77", "zzz"]
 _CODE = "label in ('Function', 'Method', 'Class')"
 
@@ -37,7 +38,8 @@ _query("label_filter", f"select label, count(*) n from nodes where {_CODE} group
 _query("project_scope", "select label, count(*) n from nodes where project = 'tpch' and starts_with(qn, 'tpch.') group by 1", lambda g: g.nodes.where((F.col("project") == "tpch") & F.col("qn").startswith("tpch.")).groupBy("label").agg(F.count("*").alias("n")))
 _query(
     "search_exact",
-    "select n.qn, n.name, n.label, coalesce(n.path, f.path) path from nodes n left join edges e on e.rel = 'DEFINES' and e.dst = n.qn left join nodes f on f.qn = e.src where n.qn in ('tpch.part.p1', 'tpch.part.p7', 'TPCH.part.p9', 'tpch.AFRICA', 'tpch.nowhere')",
+    f""", w as (select qn, name, label, path from nodes where qn in ({_WANTED})), d as (select dst qn, src from edges where rel = 'DEFINES' and dst in ({_WANTED})), h as (select d.qn, min(fpath) file_path from d join geo on fqn = d.src group by 1)
+    select distinct w.qn, name, label, coalesce(path, file_path) path from w left join h on h.qn = w.qn""",
     lambda g: S.search_exact(g, _LIST, "tpch"),
 )
 for _name, _q, _strategy, _cond in (
@@ -82,7 +84,7 @@ _query(
 )
 _query("expand_optional", "select qn, count(e.dst) n from nodes left join edges e on e.src = qn and e.rel = 'BINDS_TO' where label = 'Function' group by 1", lambda g: G.expand(g, g.label("Function").select("qn"), "BINDS_TO", optional=True).groupBy("qn").agg(F.count("to").alias("n")))
 _query("anti_pattern", "select qn from nodes where label = 'Class' and qn not in (select dst from edges where rel = 'INHERITS')", lambda g: G.without(g, g.label("Class"), "INHERITS", reverse=True).select("qn"))
-_query("anti_pattern_files", "select qn from nodes where label = 'File' and qn not in (select src from edges where rel = 'DEFINES')", lambda g: G.without(g, g.label("File"), "DEFINES").select("qn"))
+_query("anti_pattern_files", "select qn from nodes where label = 'File' and qn not in (select src from edges where rel = 'IMPORTS')", lambda g: G.without(g, g.label("File"), "IMPORTS").select("qn"))
 _query("co_membership", "select a.src file, c.src caller, c.dst callee from calls c join edges a on a.rel = 'DEFINES' and a.dst = c.src join edges b on b.rel = 'DEFINES' and b.dst = c.dst and b.src = a.src", lambda g: (
     g.rel("CALLS").select(F.col("src").alias("caller"), F.col("dst").alias("callee")).join(g.rel("DEFINES").select(F.col("src").alias("file"), F.col("dst").alias("caller")), "caller")
     .join(g.rel("DEFINES").select(F.col("src").alias("file"), F.col("dst").alias("callee")), ["callee", "file"]).select("file", "caller", "callee")
@@ -192,9 +194,20 @@ _query(
 _query("best_match", "select dst qn, (len(list_filter(list_zip(string_split(src, '.'), string_split(dst, '.')), lambda x: x[1] = x[2])))::int score from edges where rel = 'IMPORTS'", lambda g: g.rel("IMPORTS").select(F.col("dst").alias("qn"), C.best_match(F.col("src"), F.col("dst")).alias("score")))
 
 # changes of the stored graph
+
+
+def _two_projects(g: Graph) -> Graph:
+    """The graph and a copy of its project beside it."""
+    copy = G.copy_project(g, "tpch", "copy")
+    return Graph(g.nodes.unionByName(copy.nodes), g.edges.unionByName(copy.edges))
+
+
 _query("delete_prefix", "select label, count(*) n from nodes where not (qn = 'tpch.ASIA' or starts_with(qn, 'tpch.ASIA.')) group by 1", lambda g: G.delete_prefix(g, "tpch.ASIA").nodes.groupBy("label").agg(F.count("*").alias("n")))
 _query("delete_prefix_edges", "select rel, count(*) n from edges where not (src = 'tpch.ASIA' or starts_with(src, 'tpch.ASIA.') or dst = 'tpch.ASIA' or starts_with(dst, 'tpch.ASIA.')) group by 1", lambda g: G.delete_prefix(g, "tpch.ASIA").edges.groupBy("rel").agg(F.count("*").alias("n")))
-_query("delete_project", "select qn from nodes where project <> 'tpch'", lambda g: G.delete_project(g, "tpch").nodes.select("qn"))
+_query(
+    "delete_project", "select 'copy' || substr(qn, 5) qn from nodes where qn = 'tpch' or starts_with(qn, 'tpch.')",
+    lambda g: G.delete_project(_two_projects(g), "tpch").nodes.select("qn"),
+)
 _query("copy_project", "select project, replace(qn, 'tpch', 'copy') qn from (select 'copy' project, qn from nodes where (qn = 'tpch' or starts_with(qn, 'tpch.')) and label in ('Project', 'Folder', 'File'))", lambda g: G.copy_project(g, "tpch", "copy").nodes.where(F.col("label").isin("Project", "Folder", "File")).select("project", "qn"))
 _query("edge_upsert", "select rel, count(*) n from edges where (src in (select qn from nodes)) and dst in (select qn from nodes) group by 1", lambda g: G.upsert_edges(g.edges.unionByName(g.edges), g.nodes).groupBy("rel").agg(F.count("*").alias("n")))
 _query("set_property", "select qn, case when is_package then 'package ' || name else docstring end docstring from nodes where label in ('Folder', 'Function')", lambda g: G.set_values(g.label("Folder", "Function"), "qn", g.label("Folder").where("is_package").select("qn", F.concat(F.lit("package "), "name").alias("docstring")), "docstring").select("qn", "docstring"))

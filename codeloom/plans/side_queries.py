@@ -12,7 +12,6 @@ from codeloom.operators import diff as D
 from codeloom.operators import text as X
 from codeloom.operators import vector as V
 from codeloom.operators.search import matches
-from codeloom.sources import manifests, python_code
 from codeloom.sources.tables import table
 from codeloom.streaming import changes as H
 
@@ -58,35 +57,6 @@ _query("grep_folder", f"select source, count(*) n_documents, sum(k)::bigint n_ma
 ))
 _PATHS = r"[a-z_]+(?:/[a-z_]+)+\.(?:py|js|ts|go|java)"
 _query("repo_url_extraction", f"select distinct doc_id, lower(unnest(regexp_extract_all(text, '{_PATHS}'))) mention from documents where text is not null", lambda t: X.mentions(t("documents"), "doc_id", "text", _PATHS).distinct())
-_SPECS = ["numpy>=1.2,<2", "requests[security] ==2.31.0 ; python_version > '3.8'", "a.b-c_d", " torch ~= 2.1 # gpu", ""]
-_ROWS = ", ".join("({}, '{}')".format(i, s.replace("'", "''")) for i, s in enumerate(_SPECS))
-_REGION = lambda t, rows, schema: t("region").sparkSession.createDataFrame(rows, schema)
-
-
-def _pep508(t: Callable[[str], DataFrame]) -> DataFrame:
-    name, version = X.requirement(F.col("spec"))
-    return _REGION(t, list(enumerate(_SPECS)), "id int, spec string").select("id", name.alias("name"), version.alias("version"))
-
-
-_P508 = r"^\s*([A-Za-z0-9_.\-]+)(?:\[[^\]]*\])?\s*([^;#]*)"
-_query("pep508_split", f"select id, regexp_extract(spec, '{_P508}', 1) as name, trim(regexp_extract(spec, '{_P508}', 2)) as version from (values {_ROWS}) v(id, spec)", _pep508)
-_BLAME = "\n".join([f"{'a' * 40} 1 1 2", "author Ada", "author-time 1700000000", "\tx = 1", f"{'a' * 40} 2 2", "\ty = 2", f"{'b' * 40} 7 3 1", "author Bo", "author-time 1710000000", "\tz"])
-_query("blame_parse", f"select * from (values ('f.py', 1, '{'a' * 40}', 'Ada', '2023-11-14'), ('f.py', 2, '{'a' * 40}', 'Ada', '2023-11-14'), ('f.py', 3, '{'b' * 40}', 'Bo', '2024-03-09')) v(path, line, sha, author, \"at\")", lambda t: X.blame(_REGION(t, [("f.py", _BLAME)], "path string, text string"), "path", "text"))
-_STATUS = "A\tsrc/a.py\nM\tsrc/b.py\nD\tc.py\nR090\told.py\tnew.py\nC100\tsrc/a.py\tcopy.py\n"
-_query("git_diff_changes", "select * from (values ('r', 'src/a.py', 'add'), ('r', 'src/b.py', 'modify'), ('r', 'c.py', 'delete'), ('r', 'old.py', 'delete'), ('r', 'new.py', 'add'), ('r', 'copy.py', 'add')) v(repo, path, action)", lambda t: X.name_status(_REGION(t, [("r", _STATUS)], "repo string, text string"), "repo", "text"))
-_TOML = '[project]\ndependencies = ["numpy>=1.2", "requests[socks]"]\n[project.optional-dependencies]\ndev = ["pytest ~=8"]\n'
-_MANIFESTS = [("a/pyproject.toml", _TOML), ("requirements.txt", "# x\nflask==3.0\n-r other.txt\n"), ("package.json", '{"dependencies": {"left-pad": "^1"}, "devDependencies": {"jest": "29"}}'), ("go.mod", "module m\nrequire x.org/a v1.2.3\nrequire (\n\tx.org/b v0.1.0\n)\n"), ("broken/package.json", "{")]
-_query(
-    "manifest_dependencies", "select * from (values ('a/pyproject.toml', 'numpy', '>=1.2', 'main'), ('a/pyproject.toml', 'requests', '', 'main'), ('a/pyproject.toml', 'pytest', '~=8', 'dev'), ('requirements.txt', 'flask', '==3.0', 'main'), ('package.json', 'left-pad', '^1', 'main'), ('package.json', 'jest', '29', 'dev'), ('go.mod', 'x.org/a', 'v1.2.3', 'main'), ('go.mod', 'x.org/b', 'v0.1.0', 'main')) v(path, name, version, dependency_group)",
-    lambda t: manifests.read(_REGION(t, _MANIFESTS, "path string, text string")),
-)
-# each import stands on the line of its id
-_RELATIVE = [("p", "p/a/b.py", "from . import x\nfrom ..x import y\n"), ("p", "p/a/b/c.py", "\n\nfrom . import x\n")]
-_query(
-    "relative_import_resolve", "select * from (values (1, 'p.a.x'), (2, 'p.x.y'), (3, 'p.a.b.x')) v(id, target)",
-    lambda t: python_code.read(_REGION(t, _RELATIVE, "project string, path string, code string")).where("kind = 'import'").select(F.col("n").alias("id"), "target"),
-)
-
 # papers: documents stand for them, their first line for a title
 _TITLE = "regexp_extract(text, '^[^\\n]*')"
 _PAPERS = f"(select doc_id, {_TITLE} title, regexp_replace(lower({_TITLE}), '[^a-z0-9]', '', 'g') norm, source, n_chars citations, created_at from documents where text is not null)"
