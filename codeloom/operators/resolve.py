@@ -59,19 +59,21 @@ def inheritance(rows: DataFrame) -> DataFrame:
 
 
 def methods_of(rows: DataFrame) -> DataFrame:
-    """`cls, method, qn, depth`: the methods of each class, its own and those of its ancestors."""
+    """`cls, method, qn, depth, line`: the methods of each class, its own and those of its ancestors; by depth and line they are in the order in which Python-like lookups by breadth find them."""
     edges = inheritance(rows)
     own = rows.where("kind = 'def' and label = 'Method'").select(F.regexp_replace("qn", r"\.[^.]*$", "").alias("cls"), F.col("name").alias("method"), "qn")
-    up = ancestors(Graph(rows, edges)).select(F.col("qn").alias("cls"), "ancestor", "depth")
-    inherited = up.join(own.withColumnRenamed("cls", "ancestor"), "ancestor").select("cls", "method", "qn", "depth")
-    return own.select("cls", "method", "qn", F.lit(0).alias("depth")).unionByName(inherited)
+    up = ancestors(Graph(rows, edges), ordered=True).select(F.col("qn").alias("cls"), "ancestor", "depth", "line")
+    inherited = up.join(own.withColumnRenamed("cls", "ancestor"), "ancestor").select("cls", "method", "qn", "depth", "line")
+    return own.select("cls", "method", "qn", F.lit(0).alias("depth"), F.expr("cast(array() as array<int>)").alias("line")).unionByName(inherited)
 
 
-def resolve_calls(rows: DataFrame) -> DataFrame:
-    """`caller, name, line, callee, way`: the calls of `python_code.read` rows that resolve."""
+def resolve_calls(rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """`caller, name, line, callee, way`: the calls of `python_code.read` rows that resolve; with `only` (`caller, name, line`), of these calls."""
     rows = cut(rows)
     registry = rows.where("kind = 'def'").select("qn", "name", "module", "label")
     calls = rows.where("kind = 'call'").select("module", F.col("qn").alias("caller"), F.col("name").alias("callee_name"), F.col("target").alias("cls"), F.col("n").alias("line"), "types").where(~F.col("callee_name").isin(*BUILTINS)).dropDuplicates(["caller", "callee_name", "line"])
+    if only is not None:
+        calls = calls.join(only.select("caller", F.col("name").alias("callee_name"), "line").distinct(), ["caller", "callee_name", "line"], "left_semi")
     parts = F.split("callee_name", r"\.")
     calls = calls.withColumn("id", F.xxhash64("caller", "callee_name", "line")).withColumn("first", parts[0]).withColumn("last", F.element_at(parts, -1)).withColumn("receiver", F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.size(parts) - 1), ".")))
     calls = cut(calls.withColumn("rest", F.when(F.size(parts) > 1, F.expr("substring(callee_name, length(first) + 1)")).otherwise("")))
@@ -80,11 +82,11 @@ def resolve_calls(rows: DataFrame) -> DataFrame:
     names = registry.select("qn")
     take = lambda df, rank, way: df.select("id", F.col("qn").alias("callee"), F.lit(rank).alias("rank"), F.lit(way).alias("way"))
     direct = calls.join(imported.withColumnRenamed("name", "first"), ["module", "first"]).withColumn("qn", F.concat("qn", "rest")).join(names, "qn", "left_semi")
-    via_class = lambda typed: typed.join(methods.withColumnRenamed("method", "last"), ["cls", "last"])
+    via_class = lambda typed: typed.join(methods.withColumnRenamed("method", "last").withColumnRenamed("line", "bases"), ["cls", "last"])
     kinds = class_names(rows)
     typed = calls.where("receiver is not null").withColumn("name", F.try_element_at("types", F.col("receiver"))).where("name is not null").drop("cls").join(kinds, ["module", "name"])
     static = calls.where("receiver is not null").drop("cls").join(kinds.withColumnRenamed("name", "receiver"), ["module", "receiver"])
-    near = lambda df: df.groupBy("id").agg(F.min(F.struct("depth", "qn")).alias("v")).select("id", F.col("v.qn").alias("qn"))
+    near = lambda df: df.groupBy("id").agg(F.min(F.struct("depth", "bases", "qn")).alias("v")).select("id", F.col("v.qn").alias("qn"))
     same = calls.withColumn("qn", F.concat_ws(".", "module", "callee_name")).join(names, "qn", "left_semi")
     nested = calls.where("caller <> module").withColumn("qn", F.concat_ws(".", "caller", "callee_name")).join(names, "qn", "left_semi")
     whole = calls.where("receiver is null").join(rows.where("kind = 'import' and name = '*'").select("module", F.col("target").alias("star")), "module").withColumn("qn", F.concat_ws(".", "star", "callee_name")).join(names, "qn", "left_semi")

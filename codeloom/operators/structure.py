@@ -91,12 +91,24 @@ def package_tree(graph: Graph, least: int = 0) -> DataFrame:
     return held.groupBy("package").agg(F.count("*").alias("n_modules"), F.sum("n").alias("n_nodes"))
 
 
+def first_names(edges: DataFrame, key: str, other: str, most: int = 30, parts: int = 64) -> DataFrame:
+    """`qn, n, names`: how many different nodes each key has, and the first names of them.
+
+    A key's nodes are cut down to the first names in each of some parts first, so that no list grows with a hub.
+    """
+    part = F.pmod(F.xxhash64(other), F.lit(parts))
+    by = Window.partitionBy(key, part).orderBy(other)
+    one = edges.select(key, other).distinct()
+    firsts = one.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).groupBy(key).agg(F.slice(F.array_sort(F.collect_list(other)), 1, most).alias("names"))
+    counts = one.groupBy(key).agg(F.count("*").alias("n"))
+    return counts.join(firsts, key).select(F.col(key).alias("qn"), "n", F.array_join("names", ",").alias("names"))
+
+
 def call_context(graph: Graph) -> DataFrame:
     """`qn, n_callers, n_callees, callers, callees` of each function; the lists hold the first 30 names."""
     calls = graph.rel("CALLS")
-    first = lambda c: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, 30), ",")
-    into = calls.groupBy(F.col("dst").alias("qn")).agg(F.countDistinct("src").alias("n_callers"), first("src").alias("callers"))
-    out = calls.groupBy(F.col("src").alias("qn")).agg(F.countDistinct("dst").alias("n_callees"), first("dst").alias("callees"))
+    into = first_names(calls, "dst", "src").select("qn", F.col("n").alias("n_callers"), F.col("names").alias("callers"))
+    out = first_names(calls, "src", "dst").select("qn", F.col("n").alias("n_callees"), F.col("names").alias("callees"))
     rows = graph.label("Function", "Method").select("qn").join(into, "qn", "left").join(out, "qn", "left")
     zero, none = F.lit(0).cast("bigint"), F.lit("")
     return rows.select("qn", F.coalesce("n_callers", zero).alias("n_callers"), F.coalesce("n_callees", zero).alias("n_callees"), F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
@@ -187,37 +199,40 @@ def code_context(graph: Graph, qn: str, most: int = 30) -> DataFrame:
     return out
 
 
-def ancestors(graph: Graph, rel: str = "INHERITS") -> DataFrame:
+def ancestors(graph: Graph, rel: str = "INHERITS", ordered: bool = False) -> DataFrame:
     """`qn, ancestor, depth`: all ancestors of each class with their least distance; cycles end where they began.
 
+    ordered adds `line`, the places of the bases on the way (`n` of the edges, 0 where they have none), the first of
+    least distance: by depth and line the ancestors of a class are in the breadth-first order of their declaration.
     Doubling: pairs up to 2^k apart come from k rounds, so deep hierarchies take few; the first round without a new pair is the last.
     """
-
-
-    pairs = cut(graph.rel(rel).where("src <> dst").select(F.col("src").alias("qn"), F.col("dst").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    place = F.col("n") if "n" in graph.edges.columns else F.lit(0)
+    way = F.struct(F.lit(1).alias("depth"), F.array(F.coalesce(place, F.lit(0)).cast("int")).alias("line")) if ordered else F.struct(F.lit(1).alias("depth"))
+    pairs = cut(graph.rel(rel).where("src <> dst").groupBy(F.col("src").alias("qn"), F.col("dst").alias("ancestor")).agg(F.min(way).alias("way")))
     before, n = 0, pairs.count()
     while n != before:
-        upper = pairs.select(F.col("qn").alias("ancestor"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        longer = pairs.join(upper, "ancestor").select("qn", F.col("next").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).where("qn <> ancestor")
-        pairs = cut(pairs.unionByName(longer).groupBy("qn", "ancestor").agg(F.min("depth").alias("depth")))
+        upper = pairs.select(F.col("qn").alias("ancestor"), F.col("ancestor").alias("next"), F.col("way").alias("more"))
+        both = [(F.col("way.depth") + F.col("more.depth")).alias("depth")] + ([F.concat("way.line", "more.line").alias("line")] if ordered else [])
+        longer = pairs.join(upper, "ancestor").select("qn", F.col("next").alias("ancestor"), F.struct(*both).alias("way")).where("qn <> ancestor")
+        pairs = cut(pairs.unionByName(longer).groupBy("qn", "ancestor").agg(F.min("way").alias("way")))
         before, n = n, pairs.count()
-    return pairs
+    return pairs.select("qn", "ancestor", "way.*")
 
 
 def inherited_methods(graph: Graph) -> DataFrame:
-    """`qn, method, found, depth`: each method name a class gets, from itself (0) or its nearest ancestor (the least name on a tie)."""
+    """`qn, method, found, depth`: each method name a class gets, from itself (0) or its nearest ancestor, the one declared first on a tie (the least name if the order isn't known)."""
     own = graph.rel("DEFINES_METHOD").select(F.col("src").alias("qn"), F.col("dst").alias("found")).withColumn("method", F.element_at(F.split("found", r"\."), -1))
-    up = ancestors(graph).join(own.withColumnRenamed("qn", "ancestor"), "ancestor").select("qn", "method", "depth", "found")
-    every = own.select("qn", "method", F.lit(0).alias("depth"), "found").unionByName(up)
-    return every.groupBy("qn", "method").agg(F.min(F.struct("depth", "found")).alias("v")).select("qn", "method", "v.found", "v.depth")
+    up = ancestors(graph, ordered=True).join(own.withColumnRenamed("qn", "ancestor"), "ancestor").select("qn", "method", "depth", "line", "found")
+    every = own.select("qn", "method", F.lit(0).alias("depth"), F.expr("cast(array() as array<int>)").alias("line"), "found").unionByName(up)
+    return every.groupBy("qn", "method").agg(F.min(F.struct("depth", "line", "found")).alias("v")).select("qn", "method", "v.found", "v.depth")
 
 
 def overrides(graph: Graph) -> DataFrame:
-    """`src, dst`: each method and the one it overrides, of its class's nearest ancestor that has one of the same name."""
+    """`src, dst`: each method and the one it overrides, of its class's nearest ancestor that has one of the same name, the one declared first on a tie."""
     own = graph.rel("DEFINES_METHOD").select(F.col("src").alias("cls"), F.col("dst").alias("m")).withColumn("name", F.element_at(F.split("m", r"\."), -1))
-    above = ancestors(graph).select(F.col("qn").alias("cls"), "ancestor", "depth")
+    above = ancestors(graph, ordered=True).select(F.col("qn").alias("cls"), "ancestor", "depth", "line")
     theirs = own.select(F.col("cls").alias("ancestor"), F.col("m").alias("dst"), "name")
-    found = own.join(above, "cls").join(theirs, ["ancestor", "name"]).groupBy(F.col("m").alias("src")).agg(F.min(F.struct("depth", "dst")).alias("v"))
+    found = own.join(above, "cls").join(theirs, ["ancestor", "name"]).groupBy(F.col("m").alias("src")).agg(F.min(F.struct("depth", "line", "dst")).alias("v"))
     return found.select("src", F.col("v.dst").alias("dst"))
 
 

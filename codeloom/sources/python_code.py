@@ -40,12 +40,35 @@ def _dotted(node: ast.AST) -> str | None:
     return None
 
 
+def _attributes(node: ast.ClassDef) -> dict[str, str]:
+    """`self.name` -> class, of the attributes that the class or its methods annotate or set to a new object."""
+    types: dict[str, str] = {}
+    for s in node.body:
+        if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name) and (t := _dotted(s.annotation)):
+            types[f"self.{s.target.id}"] = t
+        if not isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            continue
+        given = {a.arg: t for a in s.args.args if a.annotation is not None and (t := _dotted(a.annotation))}
+        for n in ast.walk(s):
+            for target in n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else []:
+                if not (name := _dotted(target)) or not name.startswith("self."):
+                    continue
+                if isinstance(n, ast.AnnAssign) and (t := _dotted(n.annotation)):
+                    types[name] = t
+                elif isinstance(n.value, ast.Call) and (t := _dotted(n.value.func)) and t.rpartition(".")[2][:1].isupper():
+                    types[name] = t
+                elif isinstance(n.value, ast.Name) and n.value.id in given:
+                    types[name] = given[n.value.id]
+    return types
+
+
 class _Reader(ast.NodeVisitor):
     def __init__(self, module: str, code: str, is_package: bool, roots: frozenset[str], project: str) -> None:
         self.module, self.lines, self.package, self.roots, self.project = module, code.split("\n"), is_package, roots, project
         self.scope: list[tuple[str, str]] = []  # (name, F or C)
         self.rows: list[dict] = []
         self.types: list[dict[str, str]] = [{}]
+        self.attributes: list[dict[str, str]] = []  # of the classes around: the classes of `self`'s attributes
 
     @property
     def qn(self) -> str:
@@ -80,12 +103,14 @@ class _Reader(ast.NodeVisitor):
             if name := _dotted(b):
                 self.add("base", qn=f"{self.qn}.{node.name}", target=name, n=k)
         self.scope.append((node.name, "C"))
+        self.attributes.append(_attributes(node))
         self._body(node.body)
+        self.attributes.pop()
         self.scope.pop()
 
     def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
         self._define(node, "Method" if self.scope and self.scope[-1][1] == "C" else "Function")
-        types = {}
+        types = dict(self.attributes[-1]) if self.attributes else {}
         for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
             note = a.annotation
             if isinstance(note, ast.Constant) and isinstance(note.value, str):
@@ -156,10 +181,15 @@ def read_file(project: str, path: str, code: str, roots: frozenset[str] = frozen
     return r.rows
 
 
-def read(files: DataFrame, project: str = "project", path: str = "path", code: str = "code") -> DataFrame:
-    """Rows of SCHEMA of all Python files; roots (the top folders of each project) are an aggregate of the paths."""
+def roots_of(files: DataFrame) -> DataFrame:
+    """`project, roots`: the top folders and files of each project's Python files (`project, path`)."""
+    return files.where(F.col("path").endswith(".py")).groupBy("project").agg(F.array_sort(F.collect_set(F.regexp_replace(F.substring_index("path", "/", 1), r"\.py$", ""))).alias("roots"))
+
+
+def read(files: DataFrame, project: str = "project", path: str = "path", code: str = "code", roots: DataFrame | None = None) -> DataFrame:
+    """Rows of SCHEMA of all Python files; roots (`roots_of` them, unless those of more files are given) tell which imports are the project's own."""
     py = files.where(F.col(path).endswith(".py") & F.col(code).isNotNull()).select(F.col(project).alias("project"), F.col(path).alias("path"), F.col(code).alias("code"))
-    roots = py.groupBy("project").agg(F.collect_set(F.regexp_replace(F.substring_index("path", "/", 1), r"\.py$", "")).alias("roots"))
+    roots = roots_of(py) if roots is None else roots
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [c.split()[0] for c in SCHEMA.split(", ")]
