@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.graph import Graph
 from codeloom.operators.lineage import cut
-from codeloom.operators.structure import ancestors, import_distance
+from codeloom.operators.structure import ancestors, nearest_definitions
 
 BUILTINS = tuple(sorted(x for x in dir(builtins) if not x.startswith("_") and x[:1].islower()))
 #: Re-exports that a name is followed through.
@@ -100,9 +100,9 @@ def resolve_calls(rows: DataFrame, only: DataFrame | None = None) -> DataFrame:
     best = found.groupBy("id").agg(F.min(F.struct("rank", "callee", "way")).alias("v")).select("id", "v.callee", "v.way")
     # the last resort sees only what is left, once per (module, name) instead of once per call
     left = calls.join(best, "id", "left_anti").where("receiver is null or receiver not in ('self', 'cls', 'super')")
-    asked = left.select("module", "last").distinct().join(registry.select(F.col("name").alias("last"), "qn", F.col("module").alias("home")), "last")
-    nearest = asked.groupBy("module", "last").agg(F.min(F.struct(import_distance(F.col("module"), F.col("home")).alias("d"), "qn")).alias("v"))
-    guessed = left.join(nearest, ["module", "last"]).select("id", F.col("v.qn").alias("callee"), F.lit("nearest").alias("way"))
+    asked = left.select(F.col("last").alias("key"), F.col("module").alias("path"))
+    nearest = nearest_definitions(asked, registry.select(F.col("name").alias("key"), F.col("module").alias("path"), "qn")).select(F.col("path").alias("module"), F.col("key").alias("last"), "qn")
+    guessed = left.join(nearest, ["module", "last"]).select("id", F.col("qn").alias("callee"), F.lit("nearest").alias("way"))
     return calls.select("id", "caller", F.col("callee_name").alias("name"), "line").join(best.unionByName(guessed), "id").drop("id")
 
 

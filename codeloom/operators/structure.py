@@ -245,6 +245,30 @@ def import_distance(caller: Column, candidate: Column) -> Column:
     return F.greatest(F.size(a), F.size(b)) - common - near.cast("int")
 
 
+def nearest_definitions(asked: DataFrame, defs: DataFrame, other: bool = False) -> DataFrame:
+    """`key, path, qn, d`: for each asked `key, path` the definition (`key, path, qn`) of that key at the least `import_distance`, the least qn on a tie; with `other` not the asked path itself.
+
+    Definitions are gathered by every prefix of their path and by length, of which each group keeps its least name (or
+    two); an asked path meets these groups at its own prefixes. So a name that everything defines makes no pairs.
+    """
+    def prefixes(df: DataFrame) -> DataFrame:
+        parts = F.split("path", r"\.")
+        return df.withColumn("size", F.size(parts)).withColumn("c", F.explode(F.sequence(F.lit(0), F.size(parts)))).withColumn("prefix", F.array_join(F.slice(parts, F.lit(1), F.col("c")), "."))
+
+    groups = prefixes(defs).withColumnRenamed("size", "n")
+    by = ["key", "prefix", "c", "n"]
+    if other:
+        groups = groups.select(*by, "qn").distinct().withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("qn"))).where("place <= 2").drop("place")
+    else:
+        groups = groups.groupBy(*by).agg(F.min("qn").alias("qn"))
+    met = prefixes(asked.select("key", "path").distinct()).join(groups, ["key", "prefix", "c"])
+    if other:
+        met = met.where("qn <> path")
+    near = (F.col("size") >= 2) & (F.col("c") >= F.col("size") - 1) & (F.col("n") >= F.col("size"))
+    d = F.greatest("size", "n") - F.col("c") - near.cast("int")
+    return met.groupBy("key", "path").agg(F.min(F.struct(d.alias("d"), "qn")).alias("v")).select("key", "path", "v.qn", "v.d")
+
+
 def best_match(wanted: Column, candidate: Column) -> Column:
     """How many parts of two dotted names are equal, place by place."""
     return F.size(F.filter(F.zip_with(F.split(wanted, r"\."), F.split(candidate, r"\."), lambda x, y: F.coalesce(x == y, F.lit(False))), lambda same: same))

@@ -34,7 +34,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     """
     found = None
     held: list = []
-    for q in [*queries.select(key, vector).toLocalIterator(), None]:
+    for q in [*queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator(), None]:
         if q is not None:
             held.append((q[0], q[1]))
         if held and (q is None or len(held) == block):
@@ -91,3 +91,85 @@ def embed(texts: DataFrame, key: str, text: str, dims: int = 64, most: int | Non
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
+
+
+#: Vectors that an index is fitted on, and its lists, at most.
+SAMPLE, LISTS = 20_000, 1024
+#: Rows of a list above which they are spread over several keys.
+HOT_LIST = 100_000
+
+
+class Index:
+    """Inverted lists of vectors around centroids: every row is in the list of its nearest centroid, and a query looks into the lists of its nearest ones.
+
+    The centroids are fitted on a bounded sample (the rows of least hash, at most SAMPLE); all rows are indexed. With
+    `probes` as many as there are lists the answer is exact. Null vectors and those without length are in no list.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, vector: str, lists: int | None = None, rounds: int = 8) -> None:
+        self.key, self.vector, self.spark = key, vector, rows.sparkSession
+        rows = rows.select(key, vector).where(F.col(vector).isNotNull())
+        sample = np.array([r[0] for r in rows.orderBy(F.xxhash64(key)).limit(SAMPLE).select(vector).collect()], float)
+        unit = sample[np.linalg.norm(sample, axis=1) > 0] if len(sample) else np.zeros((0, 1))
+        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+        n = max(1, min(LISTS, lists or int(len(unit) ** 0.5), len(unit) or 1))
+        centers = unit[np.linspace(0, max(0, len(unit) - 1), n).astype(int)] if len(unit) else np.zeros((1, 1))
+        for _ in range(rounds if len(unit) else 0):
+            own = np.argmax(unit @ centers.T, axis=1)
+            for c in np.unique(own):
+                mean = unit[own == c].mean(axis=0)
+                if (size := np.linalg.norm(mean)) > 0:
+                    centers[c] = mean / size
+        self.centers, self.lists = centers, n
+        self.rows = self._near(rows, 1)
+
+    def _near(self, rows: DataFrame, probes: int) -> DataFrame:
+        """rows with a row for each of their nearest lists."""
+        centers, key, vector = self.centers, self.key, self.vector
+        kind = rows.schema[key].dataType.simpleString()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                m = np.stack(b[vector].to_numpy()).astype(float) if len(b) else np.zeros((0, centers.shape[1]))
+                has = np.linalg.norm(m, axis=1) > 0
+                b, m = b[has], m[has]
+                near = np.argsort(-(m @ centers.T), axis=1, kind="stable")[:, :probes]
+                yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), near.shape[1]), vector: b[vector].repeat(near.shape[1]).to_numpy(), "list": near.ravel()})
+
+        return rows.mapInPandas(run, f"{key} {kind}, {vector} array<float>, list int")
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int | float = 8) -> DataFrame:
+        """`query, key, score`: the k rows most similar to each query among those in its nearest lists: so many, or (a float) such a share of all."""
+        if isinstance(probes, float):
+            probes = max(1, round(probes * self.lists))
+        key, vector = self.key, self.vector
+        kind = self.rows.schema[key].dataType.simpleString()
+        asked = self._near(queries.select(key, vector).where(F.col(vector).isNotNull()), min(probes, self.lists))
+        # a list with many rows is spread over salts, and its queries are repeated for these
+        salts = self.rows.groupBy("list").agg(F.ceil(F.count("*") / F.lit(HOT_LIST)).cast("int").alias("salts"))
+        own = salts.select(F.col("list").alias("of"), "salts")
+        held = self.rows.join(own, F.col("list") == F.col("of")).selectExpr(key, vector, "list", f"cast(pmod(xxhash64({key}), salts) as int) salt")
+        mine = salts.select(F.col("list").alias("at"), F.col("salts").alias("spread"))
+        asked = asked.join(mine, F.col("list") == F.col("at")).selectExpr(key, vector, "list", "explode(sequence(0, spread - 1)) salt")
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"query": a[key][:0], key: b[key][:0], "score": np.zeros(0)})]
+            if len(a) and len(b):
+                m, keys = np.stack(b[vector].to_numpy()).astype(float), b[key].to_numpy()
+                m /= np.linalg.norm(m, axis=1, keepdims=True)
+                for q, v in zip(a[key], a[vector], strict=True):
+                    s = np.round(m @ (np.asarray(v, float) / np.linalg.norm(v)), 6)
+                    best = np.lexsort((keys, -s))[:k]
+                    out.append(pd.DataFrame({"query": q, key: keys[best], "score": s[best]}))
+            return pd.concat(out, ignore_index=True)
+
+        found = asked.groupBy("list", "salt").cogroup(held.groupBy("list", "salt")).applyInPandas(run, f"query {kind}, {key} {kind}, score double")
+        best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key)))), 1, k).alias("v"))
+        return best.select("query", F.explode("v").alias("v")).select("query", f"v.{key}", (-F.col("v.s")).alias("score"))
+
+
+def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:
+    """`n_queries, n_exact, n_found, recall`: which share of the true neighbours was found."""
+    hit = exact.select("query", key).join(found.select("query", key).withColumn("hit", F.lit(1)), ["query", key], "left")
+    sums = hit.agg(F.count_distinct("query").alias("n_queries"), F.count("*").alias("n_exact"), F.count("hit").alias("n_found"))
+    return sums.withColumn("recall", F.round(F.try_divide("n_found", "n_exact"), 4))

@@ -14,7 +14,7 @@ from codeloom.operators.graph import set_values, upsert_nodes
 from codeloom.operators.lineage import cut
 from codeloom.operators.resolve import call_edges, outside_standard, resolve_calls
 from codeloom.operators.search import as_list
-from codeloom.operators.structure import import_distance
+from codeloom.operators.structure import nearest_definitions
 from codeloom.sources import python_code
 from codeloom.sources.tables import table
 
@@ -115,10 +115,8 @@ _query(
 def _nearest(t: Callable[[str], DataFrame]) -> DataFrame:
     """For each function the nearest other one of its repository and simple name."""
     d = upsert_nodes(t("code_contexts").select("qualified_name", "repo_name", F.lower(F.trim("element_type")).alias("kind"), "indexed_at", "context_id"), "qualified_name", F.col("indexed_at"), F.col("context_id")).where("kind in ('function', 'method')")
-    d = d.select("repo_name", F.col("qualified_name").alias("qn"), F.substring_index("qualified_name", ".", -1).alias("name"))
-    pairs = d.withColumnRenamed("qn", "asked").join(d.withColumnRenamed("qn", "found"), ["repo_name", "name"]).where("asked <> found")
-    best = pairs.groupBy("asked").agg(F.min(F.struct(import_distance(F.col("asked"), F.col("found")).alias("d"), "found")).alias("v"))
-    return best.select("asked", F.col("v.found").alias("found"))
+    d = d.select(F.concat_ws("\x1f", "repo_name", F.substring_index("qualified_name", ".", -1)).alias("key"), F.col("qualified_name").alias("path"), F.col("qualified_name").alias("qn"))
+    return nearest_definitions(d, d, other=True).select(F.col("path").alias("asked"), F.col("qn").alias("found"))
 
 
 _query("manifest_parse", "select file_id, json_extract_string(code, '$.name') as name, json_extract_string(code, '$.version') as version from code_files where ends_with(file_path, '.json') and json_valid(code) and not regexp_matches(code, ',\\s*[}\\]]') and json_extract_string(code, '$.name') is not null", lambda t: (

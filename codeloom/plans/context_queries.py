@@ -12,11 +12,12 @@ from codeloom.operators import context as K
 from codeloom.operators import diff as D
 from codeloom.operators import graph as G
 from codeloom.operators import text as X
+from codeloom.operators import vector as V
 from codeloom.operators.graph import Graph
 from codeloom.operators.resolve import call_edges, resolve_calls
 from codeloom.plans.property_graph import BUSIEST, busiest, tpch_graph
 from codeloom.plans.property_graph import SQL as GRAPH
-from codeloom.sources import manifests, python_code
+from codeloom.sources import brace_code, manifests, python_code
 from codeloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +192,35 @@ def _manifests(t: Callable[[str], DataFrame]) -> DataFrame:
     package = one(1, "package.json", F.concat(F.lit('"dep'), "p_partkey", F.lit('": "^'), "p_size", F.lit('",')), '{"devDependencies": {', '"": ""}}')
     go = one(2, "go.mod", F.concat(F.lit("\tx.org/dep"), "p_partkey", F.lit(" v1."), "p_size", F.lit(".0")), "module m\nrequire (\n", "\n)\n")
     return manifests.read(_union([pins, package.withColumn("text", F.regexp_replace("text", ',"": ""', "")), go]))
+
+
+def _searched(t: Callable[[str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    rows = t("embeddings").select("vec_id", "embedding")
+    queries = rows.where("vec_id % 100 = 0")
+    return V.Index(rows, "vec_id", "embedding").search(queries, 10, PROBES), V.neighbours(rows, queries, "vec_id", "embedding", 10)
+
+
+#: The share of lists that a query of the embeddings looks into; they lie in no clusters, so it is large.
+PROBES = 0.7
+_tables("vector_index_search", None, lambda t: _searched(t)[0])
+_tables("vector_index_recall", None, lambda t: V.recall(*_searched(t), "vec_id"))
+_tables(
+    "dynamic_imports", "select 'p.m' || p_partkey || '.f' qn, 'importlib.import_module' as name, 'pkg' || p_size || '.x' target from part union all select 'p.m' || p_partkey || '.f', 'getattr', 'm.' || 'a' || p_size from part",
+    lambda t: python_code.read(t("part").select(F.lit("p").alias("project"), F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), F.concat(F.lit("import importlib\ndef f():\n    m = importlib.import_module('pkg"), "p_size", F.lit(".x')\n    return getattr(m, 'a"), "p_size", F.lit("')\n")).alias("code"))).where("kind = 'dynamic'").select("qn", "name", "target"),
+)
+
+
+def _braces(t: Callable[[str], DataFrame]) -> DataFrame:
+    return brace_code.read(t("code_files").where("code is not null").dropDuplicates(["repo_name", "file_path"]), "repo_name", "file_path", "code")
+
+
+_tables("extract_code", None, lambda t: _braces(t).where("kind = 'def'").groupBy("label").agg(F.count("*").alias("n"), F.count("docstring").alias("n_documented")))
+_tables("code_imports", None, lambda t: _braces(t).where("kind = 'import'").select("module", "name", "target").distinct())
+_tables("code_calls", None, lambda t: _braces(t).where("kind = 'call'").groupBy("qn").agg(F.count("*").alias("n")))
+# the functions that stand at a line's start, which in Go are all of them
+_tables(
+    "extract_go_functions", r"""with f as (select repo_name, file_path, min(code) code from code_files where file_path like '%.go' and code is not null group by all),
+    m as (select repo_name, regexp_replace(file_path, '\.go$', '') p, unnest(regexp_extract_all(replace(code, chr(13), ''), '(?m)^func ([A-Za-z_]\w*)\(', 1)) fn from f)
+    select distinct case when starts_with(p, repo_name || '/') then replace(p, '/', '.') else repo_name || '.' || replace(p, '/', '.') end || '.' || fn qn from m""",
+    lambda t: brace_code.read(t("code_files").where("file_path like '%.go' and code is not null").groupBy("repo_name", "file_path").agg(F.min("code").alias("code")), "repo_name", "file_path", "code").where("kind = 'def' and label = 'Function'").select("qn").distinct(),
+)

@@ -5,6 +5,7 @@ The syntax tree never leaves the worker; what does are rows of one schema, by `k
   var: qn of a public module or class variable, lines, digest
   import: name (local; `*` for all), target (full name)
   base: qn (class), target (as written), n (its place)
+  dynamic: qn (the definition around), name (of the function that imports or gets), target (module, or attribute of a name), n (line)
   call: qn (caller, or the module), name (as written), target (class around the caller), n (line); types: local variables whose class shows
 Files that don't parse give one row of kind `error`.
 """
@@ -146,6 +147,11 @@ class _Reader(ast.NodeVisitor):
 
     def visit_Call(self, node: ast.Call) -> None:
         name = _dotted(node.func)
+        text = [a.value if isinstance(a, ast.Constant) and isinstance(a.value, str) else None for a in node.args]
+        if name in ("importlib.import_module", "import_module", "__import__") and text[:1] != [None] and text:
+            self.add("dynamic", qn=self.qn, name=name, target=text[0], n=node.lineno)
+        elif name == "getattr" and len(text) > 1 and text[1] and (of := _dotted(node.args[0])):
+            self.add("dynamic", qn=self.qn, name=name, target=f"{of}.{text[1]}", n=node.lineno)
         if name:
             self._call("super." + node.func.attr if isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Call) and _dotted(node.func.value.func) == "super" else name, node.lineno)
         self.generic_visit(node)
