@@ -41,8 +41,11 @@ SPAN = 1 << 20
 
 @lru_cache(4)
 def encoding(vocab: str = VOCAB) -> tiktoken.Encoding:
+    """The tokenizer of a file of ranks whose vocabulary splits text by PATTERN, as both public ones of the kind do."""
     with open(vocab, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(ranks.values(), default=0) >= 1 << 16:
+        raise ValueError("ids are packed in 16 bits, and this vocabulary needs more")
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
