@@ -202,21 +202,23 @@ def code_context(graph: Graph, qn: str, most: int = 30) -> DataFrame:
 def ancestors(graph: Graph, rel: str = "INHERITS", ordered: bool = False) -> DataFrame:
     """`qn, ancestor, depth`: all ancestors of each class with their least distance; cycles end where they began.
 
-    ordered adds `line`, the places of the bases on the way (`n` of the edges, 0 where they have none), the first of
+    ordered adds `line`, the places of the bases on the way (`n` of the edges, 0 where it is null; empty if they have no such column), the first of
     least distance: by depth and line the ancestors of a class are in the breadth-first order of their declaration.
     Doubling: pairs up to 2^k apart come from k rounds, so deep hierarchies take few; the first round without a new pair is the last.
     """
-    place = F.col("n") if "n" in graph.edges.columns else F.lit(0)
-    way = F.struct(F.lit(1).alias("depth"), F.array(F.coalesce(place, F.lit(0)).cast("int")).alias("line")) if ordered else F.struct(F.lit(1).alias("depth"))
+    placed = ordered and "n" in graph.edges.columns
+    line = F.array(F.coalesce("n", F.lit(0)).cast("int")) if placed else None
+    way = F.struct(F.lit(1).alias("depth"), line.alias("line")) if placed else F.struct(F.lit(1).alias("depth"))
     pairs = cut(graph.rel(rel).where("src <> dst").groupBy(F.col("src").alias("qn"), F.col("dst").alias("ancestor")).agg(F.min(way).alias("way")))
     before, n = 0, pairs.count()
     while n != before:
         upper = pairs.select(F.col("qn").alias("ancestor"), F.col("ancestor").alias("next"), F.col("way").alias("more"))
-        both = [(F.col("way.depth") + F.col("more.depth")).alias("depth")] + ([F.concat("way.line", "more.line").alias("line")] if ordered else [])
+        both = [(F.col("way.depth") + F.col("more.depth")).alias("depth")] + ([F.concat("way.line", "more.line").alias("line")] if placed else [])
         longer = pairs.join(upper, "ancestor").select("qn", F.col("next").alias("ancestor"), F.struct(*both).alias("way")).where("qn <> ancestor")
         pairs = cut(pairs.unionByName(longer).groupBy("qn", "ancestor").agg(F.min("way").alias("way")))
         before, n = n, pairs.count()
-    return pairs.select("qn", "ancestor", "way.*")
+    none = [F.expr("cast(array() as array<int>)").alias("line")] if ordered and not placed else []
+    return pairs.select("qn", "ancestor", "way.*", *none)
 
 
 def inherited_methods(graph: Graph) -> DataFrame:

@@ -114,10 +114,12 @@ def test_every_call_and_whole_constants():
 
 
 def test_relative_imports_are_read_by_the_library(spark, rows, monkeypatch):
-    from codeloom.plans import side_queries
+    from codeloom.plans import context_queries
 
+    targets = lambda path, code: [r["target"] for r in python_code.read_file("p", path, code) if r["kind"] == "import"]
+    assert targets("p/a/b.py", "from . import x\nfrom ..x import y\n") == ["p.a.x", "p.x.y"] and targets("p/a/b/c.py", "from . import x\n") == ["p.a.b.x"]
     reads = []
     read = python_code.read
     monkeypatch.setattr(python_code, "read", lambda *a, **k: reads.append(a) or read(*a, **k))
-    got = side_queries.QUERIES["relative_import_resolve"](spark, "/root/testdata/sf0.001")
-    assert rows(got) == [(1, "p.a.x"), (2, "p.x.y"), (3, "p.a.b.x")] and len(reads) == 1
+    got = rows(context_queries.QUERIES["relative_import_resolve"](spark, "/root/testdata/sf0.001"))
+    assert len(got) == 10 and all(t.startswith("p.a") for (t,) in got) and len(reads) == 1
