@@ -11,8 +11,7 @@ from codeloom.operators import diff as D
 from codeloom.operators import files as L
 from codeloom.operators import text as X
 from codeloom.operators.graph import set_values, upsert_nodes
-from codeloom.operators.lineage import cut
-from codeloom.operators.resolve import call_edges, outside_standard, resolve_calls
+from codeloom.operators.resolve import outside_standard, resolve_calls
 from codeloom.operators.search import as_list
 from codeloom.operators.structure import nearest_definitions
 from codeloom.sources import python_code
@@ -42,7 +41,7 @@ _query(
 _query("gitignore_filter", f"select distinct repo_name, file_path from code_files where not case {_RULE_SQL} else false end", lambda t: t("code_files").where(~L.ignored_by(F.col("file_path"), _RULES)).select("repo_name", "file_path").distinct())
 _EXT = "case lower(regexp_extract(file_path, '\\.([A-Za-z0-9_]+)$', 1)) " + " ".join(f"when '{e}' then '{n}'" for n, es in L.LANGUAGES.items() for e in es.split()) + " end"
 _query("detect_language", f"select {_EXT} as language, count(*) n from code_files group by 1", lambda t: t("code_files").groupBy(L.language(F.col("file_path")).alias("language")).agg(F.count("*").alias("n")))
-_query("size_cap_filter", f"select file_id, strlen(code) n_bytes from code_files where strlen(code) <= {10_000}", lambda t: t("code_files").where(F.octet_length("code") <= 10_000).select("file_id", F.octet_length("code").cast("bigint").alias("n_bytes")))
+_query("size_cap_filter", f"select file_id, strlen(code) n_bytes from code_files where strlen(code) <= {L.SIZE_CAP}", lambda t: t("code_files").where(F.octet_length("code") <= L.SIZE_CAP).select("file_id", F.octet_length("code").cast("bigint").alias("n_bytes")))
 _IND = ", ".join(f"'{x}'" for x in L.INDICATORS)
 _query(
     "build_folders", f"with {_FILES}, p as (select repo_name, string_split(file_path, '/') p from files), l as (select repo_name, p, unnest(range(1, len(p))) k from p), o as (select repo_name, array_to_string(p[:k], '/') path, max((k = len(p) - 1 and p[len(p)] in ({_IND}))::int) = 1 is_package from l group by 1, 2) select repo_name project, repo_name || '.' || replace(path, '/', '.') qn, regexp_extract(path, '[^/]*$') as name, path, is_package from o",

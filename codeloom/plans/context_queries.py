@@ -128,7 +128,6 @@ def _filtered(t: Callable[[str], DataFrame]) -> DataFrame:
 
 
 _tables("local_call_filter", "select 's' || l_suppkey || '.f' || l_linenumber as name, l_suppkey % 4 in (1, 2) as keep, count(*) n from lineitem group by all union all select 'plain', true, count(*) from part", _filtered)
-_MODULES = "(select distinct regexp_replace(qualified_name, '\\.[^.]*$', '') m from code_contexts where qualified_name is not null)"
 _tables(
     "extract_module_context", None,
     lambda t: t("code_files").where("code is not null").select("file_id", K.module_context(F.col("code")).alias("context")).where("context <> ''"),

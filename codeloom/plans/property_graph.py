@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from codeloom.operators.graph import Graph
 from codeloom.sources.tables import table
 
-_COLUMNS = ("project", "label", "qn", "name", "path", "start_line", "end_line", "docstring", "decorators", "is_package")
 
 
 def _node(rows: DataFrame, label: str, qn, name, path=None, start=None, end=None, doc=None, decorators=None, package=None) -> DataFrame:
