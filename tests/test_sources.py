@@ -123,3 +123,14 @@ def test_relative_imports_are_read_by_the_library(spark, rows, monkeypatch):
     monkeypatch.setattr(python_code, "read", lambda *a, **k: reads.append(a) or read(*a, **k))
     got = rows(context_queries.QUERIES["relative_import_resolve"](spark, "/root/testdata/sf0.001"))
     assert len(got) == 10 and all(t.startswith("p.a") for (t,) in got) and len(reads) == 1
+
+
+def test_no_file_carries_the_roots_of_its_project(spark, rows):
+    code = "import m1, os as o, p.x, m2.y as z\nfrom m3.k import q\nfrom m4 import *\nfrom . import w\nfrom outside import v\n"
+    files = [("p", f"m{i}.py", code if i == 0 else "x = 1\n") for i in range(3000)] + [("q", "a/m1.py", "import m1, a\n"), ("q", "q.py", "import q, a.b\n"), (None, "n.py", "import n\n")]
+    read = python_code.read(spark.createDataFrame(files, "project string, path string, code string").repartition(4))
+    imports = read.where("kind = 'import'")
+    assert rows(imports.where("module = 'p.m0'"), "name", "target") == [("*", "p.m4"), ("m1", "p.m1"), ("o", "os"), ("p", "p"), ("q", "p.m3.k.q"), ("v", "outside.v"), ("w", "p.w"), ("z", "p.m2.y")]
+    assert rows(imports.where("module like 'q%'"), "module", "name", "target") == [("q.a.m1", "a", "q.a"), ("q.a.m1", "m1", "m1"), ("q.q", "a", "q.a"), ("q.q", "q", "q")]
+    assert read.columns == [c.split()[0] for c in python_code.SCHEMA.split(", ")] and rows(read.groupBy("kind").count().where("kind = 'var'"), "count") == [(2999,)]
+    assert "collect_set" not in read._jdf.queryExecution().optimizedPlan().toString()
