@@ -58,3 +58,12 @@ def test_pairs_are_neither_shuffled_nor_stored(spark):
     assert df.count() == 50 * 210
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("MapInArrow")
+
+
+def test_inherited_methods_are_closed_in_the_tasks(spark, rows):
+    edges = [("p.a", "INHERITS", "p.b"), ("p.b", "INHERITS", "p.c"), ("p.c", "DEFINES_METHOD", "p.c.m"), ("p.a", "DEFINES_METHOD", "p.a.m")]
+    g = Graph(None, spark.createDataFrame(edges, "src string, rel string, dst string"))
+    got = structure.inherited_methods(g)
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")
+    assert rows(got, "qn", "found", "depth") == [("p.a", "p.a.m", 0), ("p.b", "p.c.m", 1), ("p.c", "p.c.m", 0)]
+    assert rows(structure.overrides(g)) == [("p.a.m", "p.c.m")]
